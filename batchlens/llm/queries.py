@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchlens.llm import mixing
+from batchlens.llm import mixing, packing
 from batchlens.llm.common import ship
 
 
@@ -20,6 +20,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 _QUERIES = {
     "op7_mixing": mixing.op7,
+    "op8_packing": packing.op8,
 }
 
 _SQL = {
