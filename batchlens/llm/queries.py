@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchlens.llm import mixing, packing
+from batchlens.llm import jaccard, mixing, packing
 from batchlens.llm.common import ship
 
 
@@ -21,10 +21,12 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 _QUERIES = {
     "op7_mixing": mixing.op7,
     "op8_packing": packing.op8,
+    "op9_jaccard_join": jaccard.op9,
 }
 
 _SQL = {
     "op7_mixing": mixing.OP7_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
 }
 
 
