@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchlens.llm import jaccard, mixing, packing
+from batchlens.llm import jaccard, mixing, packing, quality, toxicity
 from batchlens.llm.common import ship
 
 
@@ -19,6 +19,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 _QUERIES = {
+    "op4_toxicity": toxicity.op4,
+    "op5_quality": quality.op5,
     "op7_mixing": mixing.op7,
     "op8_packing": packing.op8,
     "op9_jaccard_join": jaccard.op9,
