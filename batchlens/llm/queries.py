@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchlens.llm import jaccard, mixing, packing, quality, toxicity
+from batchlens.llm import edits, jaccard, lines, mixing, packing, quality, toxicity
 from batchlens.llm.common import ship
 
 
@@ -19,16 +19,19 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 _QUERIES = {
+    "op1_edit_fingerprint": edits.op1,
     "op4_toxicity": toxicity.op4,
     "op5_quality": quality.op5,
     "op7_mixing": mixing.op7,
     "op8_packing": packing.op8,
     "op9_jaccard_join": jaccard.op9,
+    "op10_line_dedup": lines.op10,
 }
 
 _SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,
+    "op10_line_dedup": lines.OP10_SQL,
 }
 
 
