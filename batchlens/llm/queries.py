@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchlens.llm import edits, jaccard, lines, mixing, packing, quality, toxicity
+from batchlens.llm import edits, flac, jaccard, lines, mixing, packing, quality, toxicity
 from batchlens.llm.common import ship
 
 
@@ -22,6 +22,7 @@ _QUERIES = {
     "op1_edit_fingerprint": edits.op1,
     "op4_toxicity": toxicity.op4,
     "op5_quality": quality.op5,
+    "op6_flac": flac.op6,
     "op7_mixing": mixing.op7,
     "op8_packing": packing.op8,
     "op9_jaccard_join": jaccard.op9,
