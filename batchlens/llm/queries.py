@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchlens.llm import edits, flac, jaccard, lines, mixing, packing, quality, toxicity
+from batchlens.llm import edits, flac, jaccard, lines, mixing, packing, quality, toxicity, warc
 from batchlens.llm.common import ship
 
 
@@ -20,6 +20,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 _QUERIES = {
     "op1_edit_fingerprint": edits.op1,
+    "op2_warc": warc.op2,
     "op4_toxicity": toxicity.op4,
     "op5_quality": quality.op5,
     "op6_flac": flac.op6,
@@ -30,6 +31,7 @@ _QUERIES = {
 }
 
 _SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_line_dedup": lines.OP10_SQL,
