@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchlens.llm import edits, flac, jaccard, lines, mixing, packing, quality, toxicity, warc
+from batchlens.llm import edits, flac, jaccard, licences, lines, mixing, packing, quality, toxicity, warc
 from batchlens.llm.common import ship
 
 
@@ -21,6 +21,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 _QUERIES = {
     "op1_edit_fingerprint": edits.op1,
     "op2_warc": warc.op2,
+    "op3_licence_scan": licences.op3,
     "op4_toxicity": toxicity.op4,
     "op5_quality": quality.op5,
     "op6_flac": flac.op6,
