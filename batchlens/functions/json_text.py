@@ -35,14 +35,13 @@ def strict_error(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
 def _strict(text: pd.Series) -> pd.Series:
     return text.map(strict_error).astype(object)
 
 
 def strict_json_error(text: Column) -> Column:
     """Null where text is strict JSON, else the reason."""
-    return _strict(text)
+    return F.pandas_udf(_strict, "string")(text)
 
 
 def fnv1a(data: bytes) -> int:
@@ -70,7 +69,7 @@ def fnv_bucket(key: Column, buckets: int) -> Column:
             n = int(np.searchsorted(-size[order], -(i + 1), "right"))
             h[:n] = (h[:n] ^ data[start[:n] + i].astype(np.uint64)) * np.uint64(0x100000001B3)
         out[order] = (h % np.uint64(buckets)).astype(np.int64)
-        return pd.Series(np.where(size < 0, None, out), dtype="Int32" if (size >= 0).all() else object)
+        return pd.Series(out).where(pd.Series(size >= 0)).astype("Int32")
 
     return run(key)
 
@@ -200,6 +199,6 @@ def interruption(cloud: Column, status: Column, body: Column) -> Column:
     return (
         F.when((cloud == "aws") & good & v.isNotNull(), notice("terminate", text_at(v, "$.time")))
         .when((cloud == "aws_rebalance") & good & v.isNotNull(), notice("rebalance", text_at(v, "$.noticeTime")))
-        .when((cloud == "gcp") & good & (F.upper(F.trim(body)) == "TRUE"), notice("terminate", none))
+        .when((cloud == "gcp") & good & body.rlike(r"(?i)\A\s*true\s*\z"), notice("terminate", none))
         .when((cloud == "azure") & good & preempt.isNotNull(), notice("terminate", text_at(preempt, "$.NotBefore")))
     )

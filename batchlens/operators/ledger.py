@@ -78,8 +78,9 @@ def close(states: DataFrame, posts: DataFrame, kind: str = "ack") -> DataFrame:
 
 def reap(states: DataFrame, now_ms: int) -> DataFrame:
     """States with expired leases pending again, attempts kept."""
-    gone = (F.col("status") == "leased") & F.coalesce(F.col("leased_until") < now_ms, F.lit(False))
-    return states.withColumn("reaped", gone).withColumn("status", F.when(gone, "pending").otherwise(F.col("status"))).withColumn("leased_until", F.when(~gone, F.col("leased_until"))).withColumn("leased_by", F.when(~gone, F.col("leased_by")))
+    lapsed = (F.col("status") == "leased") & F.coalesce(F.col("leased_until") < now_ms, F.lit(False))
+    gone, keep = F.col("reaped"), lambda c: F.when(~F.col("reaped"), F.col(c))
+    return states.withColumn("reaped", lapsed).withColumns({"status": F.when(gone, "pending").otherwise(F.col("status")), "leased_until": keep("leased_until"), "leased_by": keep("leased_by")})
 
 
 def counts(states: DataFrame) -> DataFrame:

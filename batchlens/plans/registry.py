@@ -1,15 +1,495 @@
-"""All registered queries with their SQL."""
+"""All registered queries of the engine, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from batchlens.functions import json_text as J
+from batchlens.functions import scalars as X
+from batchlens.operators import batches, completeness, costs, dispatch, ledger, results, workers
+from batchlens.plans import inputs as I
+from batchlens.session import ship
+from batchlens.sources import importer, jsonl
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def put(function: Query) -> Query:
+        _QUERIES[function.__name__] = function
+        if sql:
+            _SQL[function.__name__] = sql
+        return function
+
+    return put
+
+
+def _shipped(function: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return function(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: _shipped(function) for name, function in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Completeness
+
+
+@query("""WITH i AS (SELECT DISTINCT 'ord-' || o_orderkey AS id FROM orders), e AS (SELECT DISTINCT 'ord-' || l_orderkey AS id FROM lineitem), j AS (SELECT i.id AS a, e.id AS b FROM i FULL JOIN e ON i.id = e.id)
+SELECT count(a) AS input_ids, count(b) AS emitted_ids, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS matched, count(*) FILTER (b IS NULL) AS missing, count(*) FILTER (a IS NULL) AS extra,
+  (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders) AS duplicate_input, 0 AS rejected_input, count(*) FILTER (b IS NULL) = 0 AS complete FROM j""")
+def verify_report(spark, d):
+    return completeness.report(I.requests(spark, d), completeness.emitted(I.results(spark, d)))
+
+
+@query("""WITH i AS (SELECT 'doc-' || doc_id || CASE WHEN doc_id % 17 = 0 THEN ' x' ELSE '' END AS id FROM documents UNION ALL SELECT 'doc-' || doc_id FROM documents WHERE doc_id % 10 = 1 AND doc_id % 17 <> 0),
+v AS (SELECT id, count(*) AS n FROM i WHERE regexp_full_match(id, '[a-zA-Z0-9_-]{1,64}') GROUP BY id), e AS (SELECT DISTINCT 'doc-' || (doc_id + 3) AS id FROM labels), j AS (SELECT v.id AS a, e.id AS b, n FROM v FULL JOIN e ON v.id = e.id)
+SELECT count(a) AS input_ids, count(b) AS emitted_ids, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS matched, count(*) FILTER (b IS NULL) AS missing, count(*) FILTER (a IS NULL) AS extra,
+  CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_input, (SELECT count(*) FROM i WHERE NOT regexp_full_match(id, '[a-zA-Z0-9_-]{1,64}')) AS rejected_input, count(*) FILTER (b IS NULL) = 0 AS complete FROM j""")
+def verify_report_with_rejects(spark, d):
+    docs = I.read(spark, d, "documents")
+    ids = docs.select(F.concat(F.lit("doc-"), "doc_id", F.when(F.col("doc_id") % 17 == 0, " x").otherwise("")).alias("custom_id"))
+    again = docs.filter("doc_id % 10 = 1 AND doc_id % 17 <> 0").select(F.concat(F.lit("doc-"), "doc_id").alias("custom_id"))
+    return completeness.report(ids.unionByName(again), I.read(spark, d, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id") + 3).alias("custom_id")))
+
+
+@query("SELECT 'ord-' || o_orderkey AS custom_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) ORDER BY 1 LIMIT 100")
+def verify_missing_sample(spark, d):
+    return completeness.missing_sample(I.requests(spark, d), completeness.emitted(I.results(spark, d)))
+
+
+@query("SELECT DISTINCT 'doc-' || doc_id AS custom_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def verify_extra(spark, d):
+    ids = lambda t: I.read(spark, d, t).select(F.concat(F.lit("doc-"), "doc_id").alias("custom_id"))
+    return completeness.extra(ids("labels"), ids("documents"))
+
+
+@query("SELECT count(*) AS unique_ids, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
+def id_tally(spark, d):
+    return completeness.tally(I.results(spark, d))
+
+
+@query("SELECT doc_id, custom_id, coalesce(regexp_full_match(custom_id, '[a-zA-Z0-9_-]{1,64}'), false) AS valid FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ok_' || doc_id WHEN 1 THEN 'has space ' || doc_id WHEN 2 THEN repeat('x', CAST(60 + doc_id % 8 AS INTEGER)) WHEN 3 THEN 'é' || doc_id ELSE 'nl-' || doc_id || chr(10) END AS custom_id FROM documents)")
+def custom_id_validation(spark, d):
+    k = F.col("doc_id")
+    name = F.when(k % 5 == 0, F.concat(F.lit("ok_"), k)).when(k % 5 == 1, F.concat(F.lit("has space "), k)).when(k % 5 == 2, F.repeat(F.lit("x"), (60 + k % 8).cast("int"))).when(k % 5 == 3, F.concat(F.lit("é"), k)).otherwise(F.concat(F.lit("nl-"), k, F.lit("\n")))
+    return I.read(spark, d, "documents").select("doc_id", name.alias("custom_id")).withColumn("valid", X.valid_custom_id(F.col("custom_id")))
+
+
+# Results and costs
+
+
+@query(f"WITH {I.RES} SELECT custom_id, kind, worker_id, latency_ms, completed_at FROM (SELECT *, row_number() OVER (PARTITION BY custom_id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM res) WHERE rn = 1")
+def results_first_terminal(spark, d):
+    rows = I.results(spark, d).select("custom_id", "kind", "worker_id", "latency_ms", "completed_at", *I.ARRIVAL)
+    return results.first_terminal(rows, I.ARRIVAL).select("custom_id", "kind", "worker_id", "latency_ms", "completed_at")
+
+
+_TOTALS = "count(*) AS items, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens, CAST(0 AS BIGINT) AS reasoning_tokens, CAST(sum(prompt_tokens) + sum(completion_tokens) AS BIGINT) AS total_tokens"
+
+
+@query(f"WITH {I.RES} SELECT {_TOTALS} FROM res WHERE kind = 'done'")
+def usage_totals(spark, d):
+    return costs.totals(I.results(spark, d).filter("kind = 'done'"))
+
+
+@query(f"WITH {I.RES} SELECT worker_id, {_TOTALS} FROM res WHERE kind = 'done' GROUP BY worker_id")
+def usage_by_worker(spark, d):
+    return costs.totals(I.results(spark, d).filter("kind = 'done'"), ["worker_id"])
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"""WITH {I.RES}, t AS (SELECT {_TOTALS} FROM res WHERE kind = 'done'), o AS (SELECT *, (prompt_tokens - least(cached_tokens, prompt_tokens)) / 1e6 * 0.5 + least(cached_tokens, prompt_tokens) / 1e6 * 0.05 + completion_tokens / 1e6 * 1.5 AS online FROM t)
+SELECT items, prompt_tokens, completion_tokens, cached_tokens, reasoning_tokens, total_tokens, 2000.0::DOUBLE AS own_cost_usd, round(2000.0::DOUBLE / (total_tokens / 1e6), 6) AS own_usd_per_mtok, round(total_tokens / 2000.0::DOUBLE, 6) AS tokens_per_usd, round(online::DOUBLE, 6) AS online_cost_usd, round(online::DOUBLE - 2000.0::DOUBLE, 6) AS savings_usd, round((online::DOUBLE - 2000.0::DOUBLE) / online::DOUBLE * 100, 6) AS savings_pct FROM o""")
+def cost_report(spark, d):
+    return _rounded(costs.report(costs.totals(I.results(spark, d).filter("kind = 'done'")), costs.gpu_cost(2000.0), 0.5, 1.5, 0.05))
+
+
+@query(f"""WITH {I.RES}, t AS (SELECT {_TOTALS} FROM res WHERE kind = 'done')
+SELECT items, prompt_tokens, completion_tokens, cached_tokens, reasoning_tokens, total_tokens, 24.0::DOUBLE AS own_cost_usd, round(24.0::DOUBLE / (total_tokens / 1e6), 6) AS own_usd_per_mtok, round(total_tokens / 24.0::DOUBLE, 6) AS tokens_per_usd, NULL::DOUBLE AS online_cost_usd, NULL::DOUBLE AS savings_usd, NULL::DOUBLE AS savings_pct FROM t""")
+def cost_report_without_prices(spark, d):
+    return _rounded(costs.report(costs.totals(I.results(spark, d).filter("kind = 'done'")), costs.gpu_cost(None, 2.0, 6.0, 2)))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    p = F.expr("percentile(value, array(0.5D, 0.95D, 0.99D))")
+    return I.read(spark, d, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+
+
+@query(f"WITH {I.RES} SELECT custom_id, CAST(status_code AS INTEGER) AS status_code, body AS body_json, error_code, error_message, prompt_tokens, completion_tokens, total_tokens, worker_id, latency_ms, attempt, completed_at FROM res")
+def parquet_export_rows(spark, d):
+    return results.export_columns(I.results(spark, d))
+
+
+@query(f"""WITH {I.RES} SELECT 'batch_req_' || substr(sha256(custom_id), 1, 24) AS id, custom_id, status_code, CASE WHEN kind = 'done' THEN 'req_' || substr(sha256(custom_id), 1, 24) END AS request_id, body, error_code, error_message AS error_text FROM res""")
+def reshape_output(spark, d):
+    out = results.reshaped(I.results(spark, d))
+    return out.select("id", "custom_id", "response.status_code", "response.request_id", "response.body", F.col("error.code").alias("error_code"), F.col("error.message").alias("error_text"))
+
+
+@query(f"WITH {I.RES} SELECT count(*) FILTER (kind = 'done') AS done, count(*) FILTER (kind = 'dead') AS dead, CAST(sum(prompt_tokens) FILTER (kind = 'done') AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) FILTER (kind = 'done') AS BIGINT) AS completion_tokens FROM res")
+def job_totals(spark, d):
+    return ledger.job_totals(I.results(spark, d))
+
+
+@query("SELECT DISTINCT 'ord-' || l_orderkey AS custom_id FROM lineitem")
+def emitted_ids(spark, d):
+    return completeness.emitted(I.results(spark, d)).distinct()
+
+
+@query(f"WITH {I.RES} SELECT custom_id, attempt AS generation, kind = 'done' AS ok, status_code, body, error_message AS error, prompt_tokens, completion_tokens, total_tokens, latency_ms, worker_id FROM res")
+def wire_posts(spark, d):
+    return batches.to_post(I.results(spark, d))
+
+
+@query(f"WITH {I.RES} SELECT custom_id, kind, CASE WHEN kind = 'done' THEN prompt_tokens ELSE 0 END AS prompt_tokens, CAST(0 AS BIGINT) AS cached_tokens, error_code, CASE WHEN kind = 'done' THEN latency_ms ELSE 0 END AS latency_ms, attempt FROM res")
+def wire_results(spark, d):
+    return batches.from_post(batches.to_post(I.results(spark, d)), I.NOW).select("custom_id", "kind", "prompt_tokens", "cached_tokens", "error_code", "latency_ms", "attempt")
+
+
+# Ledger
+
+
+_COUNTS = "count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'leased') AS leased, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'dead_letter') AS dead"
+
+
+@query(f"WITH {I.ST} SELECT {_COUNTS}, count(*) AS total, count(*) FILTER (status IN ('pending', 'leased')) = 0 AS drained FROM st")
+def queue_counts(spark, d):
+    return ledger.counts(I.states(spark, d))
+
+
+@query(f"WITH {I.ST} SELECT attempts, count(*) AS n FROM st WHERE status IN ('done', 'dead_letter') GROUP BY attempts")
+def attempt_histogram(spark, d):
+    return ledger.attempt_histogram(I.states(spark, d))
+
+
+@query(f"WITH {I.ST}, c AS (SELECT {_COUNTS}, count(*) FILTER (status IN ('done', 'dead_letter') AND attempts > 1) AS retried FROM st) SELECT *, round(done / (done + dead), 9) AS success_rate, (SELECT string_agg(a || ':' || n, ',' ORDER BY a) FROM (SELECT attempts AS a, count(*) AS n FROM st WHERE status IN ('done', 'dead_letter') GROUP BY 1)) AS histogram, (SELECT string_agg(r || ':' || n, ',' ORDER BY r) FROM (SELECT {I.CLASSIFY} AS r, count(*) AS n FROM (SELECT lower(error) AS e FROM st WHERE status = 'dead_letter') GROUP BY 1)) AS reasons FROM c")
+def status_report(spark, d):
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return ledger.status_report(I.states(spark, d)).select("pending", "leased", "done", "dead", "retried", F.round("success_rate", 9).alias("success_rate"), shown("attempt_histogram").alias("histogram"), shown("failure_reasons").alias("reasons"))
+
+
+@query(f"""WITH {I.ST}, c AS (SELECT {_COUNTS}, count(*) FILTER (status IN ('done', 'dead_letter') AND attempts > 1) AS retried FROM st), r AS (SELECT string_agg('batchlens_failures{{reason="' || r || '"}} ' || n || chr(10), '' ORDER BY r) AS f FROM (SELECT {I.CLASSIFY} AS r, count(*) AS n FROM (SELECT lower(error) AS e FROM st WHERE status = 'dead_letter') GROUP BY 1))
+SELECT '# HELP batchlens_items Items by state.' || chr(10) || '# TYPE batchlens_items gauge' || chr(10) || 'batchlens_items{{state="pending"}} ' || pending || chr(10) || 'batchlens_items{{state="leased"}} ' || leased || chr(10) || 'batchlens_items{{state="done"}} ' || done || chr(10) || 'batchlens_items{{state="dead"}} ' || dead || chr(10) || '# HELP batchlens_failures Dead letters by reason.' || chr(10) || '# TYPE batchlens_failures gauge' || chr(10) || f || '# HELP batchlens_retried Ended items that took more than one attempt.' || chr(10) || '# TYPE batchlens_retried gauge' || chr(10) || 'batchlens_retried ' || retried || chr(10) AS text FROM c, r""")
+def metrics_text(spark, d):
+    text = ledger.metrics_text(ledger.status_report(I.states(spark, d)))
+    return text.select(F.regexp_replace("text", r"# HELP batchlens_success_rate[^\n]*\n[^\n]*\n[^\n]*\n", "").alias("text"))
+
+
+@query(f"WITH {I.FAIL} SELECT reason, count(*) AS n FROM (SELECT {I.CLASSIFY} AS reason FROM (SELECT lower(error) AS e FROM fl)) GROUP BY reason ORDER BY n DESC, reason")
+def failure_breakdown(spark, d):
+    return ledger.failure_breakdown(I.failures(spark, d))
+
+
+_LIVE = f"status = 'leased' AND coalesce(leased_until > {I.NOW}, false)"
+
+
+@query(f"WITH {I.ST}, a AS (SELECT {_COUNTS}, count(*) FILTER ({_LIVE}) AS live_leases, count(*) FILTER (status = 'leased' AND NOT coalesce(leased_until > {I.NOW}, false)) AS orphaned_leases FROM st) SELECT *, pending + orphaned_leases AS reclaimable, orphaned_leases > 0 AS interrupted FROM a")
+def resume_audit(spark, d):
+    return ledger.resume_audit(I.states(spark, d), I.NOW)
+
+
+@query(f"WITH {I.ST} SELECT coalesce(leased_by, '(unknown)') AS holder, count(*) AS n FROM st WHERE {_LIVE} GROUP BY 1 ORDER BY n DESC, holder")
+def live_holders(spark, d):
+    return ledger.live_holders(I.states(spark, d), I.NOW)
+
+
+_ELIGIBLE = f"(status = 'pending' OR (status = 'leased' AND coalesce(leased_until < {I.NOW}, false)))"
+
+
+@query(f"WITH {I.ST} SELECT custom_id, ordinal, status FROM st WHERE {_ELIGIBLE} ORDER BY ordinal LIMIT 256")
+def lease_pick_fifo(spark, d):
+    return ledger.pick(I.states(spark, d), 256, I.NOW).select("custom_id", "ordinal", "status")
+
+
+@query(f"WITH {I.ST} SELECT custom_id, ordinal, status FROM st WHERE {_ELIGIBLE} ORDER BY status = 'leased' DESC, ordinal LIMIT 256")
+def lease_pick_expired_first(spark, d):
+    return ledger.pick(I.states(spark, d), 256, I.NOW, "expired_first").select("custom_id", "ordinal", "status")
+
+
+@query(f"WITH {I.ST} SELECT custom_id, 'leased' AS status, attempts + 1 AS attempts, CAST({I.NOW + 60000} AS BIGINT) AS leased_until, 'me' AS leased_by FROM st WHERE {_ELIGIBLE} ORDER BY ordinal LIMIT 100")
+def lease_wave(spark, d):
+    return ledger.lease(I.states(spark, d), 100, I.NOW, 60_000, "me").select("custom_id", "status", "attempts", "leased_until", "leased_by")
+
+
+@query(f"WITH {I.ST} SELECT custom_id, CASE WHEN status = 'leased' AND coalesce(leased_until < {I.NOW}, false) THEN 'pending' ELSE status END AS status, attempts, CASE WHEN NOT (status = 'leased' AND coalesce(leased_until < {I.NOW}, false)) THEN leased_until END AS leased_until, status = 'leased' AND coalesce(leased_until < {I.NOW}, false) AS reaped FROM st")
+def reap_expired(spark, d):
+    return ledger.reap(I.states(spark, d), I.NOW).select("custom_id", "status", "attempts", "leased_until", "reaped")
+
+
+@query(f"WITH {I.ST} SELECT 'ord-' || o_orderkey AS custom_id, CAST(1 + o_orderkey % 3 AS BIGINT) AS attempt, status = 'leased' AND attempts = 1 + o_orderkey % 3 AS applied FROM orders JOIN st ON custom_id = 'ord-' || o_orderkey")
+def fenced_close(spark, d):
+    posts = I.read(spark, d, "orders").select(F.concat(F.lit("ord-"), "o_orderkey").alias("custom_id"), (1 + F.col("o_orderkey") % 3).cast("long").alias("attempt"))
+    return ledger.close(I.states(spark, d), posts).drop("kind")
+
+
+@query("SELECT 'ord-' || k AS custom_id, CAST(1000 + min(ordinal) AS BIGINT) AS seq FROM (SELECT l_orderkey + 7 AS k, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem) WHERE k NOT IN (SELECT o_orderkey FROM orders) GROUP BY k")
+def enqueue_new(spark, d):
+    items = I.read(spark, d, "lineitem").select(F.concat(F.lit("ord-"), F.col("l_orderkey") + 7).alias("custom_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ordinal"))
+    return ledger.enqueue(I.states(spark, d), items, 1000, I.NOW).select("custom_id", "seq")
+
+
+@query(f"""WITH RECURSIVE {I.LOG}, f AS (
+  SELECT DISTINCT custom_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS attempts, CAST(NULL AS BIGINT) AS leased_until, CAST(NULL AS VARCHAR) AS leased_by, CAST(NULL AS VARCHAR) AS error FROM lg
+  UNION ALL
+  SELECT f.custom_id, f.n + 1, CASE WHEN x = 'enqueue' THEN 'pending' WHEN x = 'lease' THEN 'leased' WHEN x = 'ack' THEN 'done' WHEN x = 'dead' THEN 'dead_letter' WHEN x = 'reap' THEN 'pending' ELSE f.status END,
+    CASE WHEN x = 'enqueue' THEN 0 WHEN x = 'lease' THEN f.attempts + 1 ELSE f.attempts END, CASE WHEN x = 'lease' THEN e.at_ms + 21600000 WHEN x IS NOT NULL THEN NULL ELSE f.leased_until END,
+    CASE WHEN x = 'lease' THEN 'w' || (e.event_id % 5) WHEN x IS NOT NULL THEN NULL ELSE f.leased_by END, CASE WHEN x = 'dead' THEN 'HTTP 500' WHEN x IN ('enqueue', 'ack') THEN NULL ELSE f.error END
+  FROM f JOIN (SELECT *, 0 AS z FROM lg) e ON e.custom_id = f.custom_id AND e.n = f.n + 1, LATERAL (SELECT CASE WHEN e.kind = 'signup' AND f.status IS NULL THEN 'enqueue' WHEN e.kind = 'view' AND (f.status = 'pending' OR (f.status = 'leased' AND f.leased_until < e.at_ms)) THEN 'lease'
+    WHEN e.kind = 'click' AND f.status = 'leased' AND f.attempts = e.attempt THEN 'ack' WHEN e.kind = 'purchase' AND f.status = 'leased' AND f.attempts = e.attempt THEN 'dead' WHEN e.kind = 'error' AND f.status = 'leased' AND f.leased_until < e.at_ms THEN 'reap' END AS x) l)
+SELECT custom_id, status, attempts, leased_until, leased_by, error FROM (SELECT *, row_number() OVER (PARTITION BY custom_id ORDER BY n DESC) AS rn FROM f) WHERE rn = 1 AND status IS NOT NULL""")
+def ledger_fold(spark, d):
+    return ledger.fold(I.log(spark, d))
+
+
+@query("SELECT a || '>' || b AS edge, (a = 'pending' AND b = 'leased') OR (a = 'leased' AND b IN ('done', 'pending', 'dead_letter')) AS legal FROM (SELECT unnest(['pending', 'leased', 'done', 'dead_letter']) AS a), (SELECT unnest(['pending', 'leased', 'done', 'dead_letter']) AS b)")
+def state_edges(spark, d):
+    from batchlens.schemas import STATES
+
+    pairs = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in STATES for b in STATES])).alias("p")).select("p.*")
+    return pairs.select(F.concat("a", F.lit(">"), "b").alias("edge"), X.can_transition(F.col("a"), F.col("b")).alias("legal"))
+
+
+# Requests
+
+
+@query("SELECT page_id, url, CASE WHEN contains(u, '/embeddings') THEN 'embeddings' WHEN contains(u, '/chat/completions') THEN 'chat' WHEN contains(u, '/completions') THEN 'completions' WHEN contains(u, '/messages') THEN 'messages' END AS kind, 'http://h:1' || u AS request_url, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM (SELECT *, ['/v1/embeddings', '/v1/chat/completions', '/v1/completions', '/v1/messages', '/x'][CAST(page_id % 5 + 1 AS INTEGER)] AS u FROM pages)")
+def endpoint_from_path(spark, d):
+    path = F.element_at(F.array(*[F.lit(p) for p in ("/v1/embeddings", "/v1/chat/completions", "/v1/completions", "/v1/messages", "/x")]), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = I.read(spark, d, "pages").select("page_id", "url", path.alias("u"))
+    return rows.select("page_id", "url", X.endpoint_kind(F.col("u")).alias("kind"), X.request_url(F.lit("http://h:1//"), F.col("u"), X.endpoint_kind(F.col("u"))).alias("request_url"), X.query_parameter(F.col("url"), "page").alias("page"))
+
+
+@query(f"WITH {I.FOREIGN} SELECT line_no, name AS custom_id, 'POST' AS method, ['/v1/chat/completions', '/v1/completions', '/v1/embeddings'][CAST(shape + 1 AS INTEGER)] AS url FROM fv WHERE rn = 1")
+def import_normalize(spark, d):
+    good, _, _ = importer.import_batch(I.foreign(spark, d))
+    return good.select(F.col("ordinal").alias("line_no"), "custom_id", "method", "url")
+
+
+@query(f"WITH {I.FOREIGN} SELECT count(*) AS lines_read, count(*) FILTER (rn = 1) AS written, count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (rn > 1) AS duplicates FROM fv")
+def import_stats(spark, d):
+    return importer.import_batch(I.foreign(spark, d))[2]
+
+
+_OWN = "fx AS (SELECT *, shape = 0 AND ok AS valid FROM fv)"
+
+
+@query(f"WITH {I.FOREIGN}, {_OWN} SELECT count(*) AS lines_read, count(*) FILTER (valid) AS hydrated, count(*) FILTER (NOT valid) AS rejected FROM fx")
+def ingest_stats(spark, d):
+    return jsonl.ingest(spark, I.foreign(spark, d))[2]
+
+
+@query(f"WITH {I.FOREIGN}, {_OWN} SELECT line_no FROM fx WHERE NOT valid")
+def ingest_rejects(spark, d):
+    return jsonl.ingest(spark, I.foreign(spark, d))[1].select("line_no")
+
+
+@query(f"WITH {I.FOREIGN}, {_OWN} SELECT name AS custom_id, min(line_no) AS ordinal FROM fx WHERE valid GROUP BY name")
+def ingest_items(spark, d):
+    return jsonl.ingest(spark, I.foreign(spark, d))[0].select("custom_id", "ordinal")
+
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id, coalesce(first(text ORDER BY turn) FILTER (role = 'system'), first(text ORDER BY turn)) AS t FROM conversations GROUP BY conv_id),
+k AS (SELECT conv_id, ('m' || (conv_id % 3))::BLOB || '\\x00'::BLOB || encode(coalesce(substr(t, 1, 256), '')) AS b FROM c),
+h AS (SELECT conv_id, hex(b) AS x, 1 AS i, 14695981039346656037::UHUGEINT AS h FROM k UNION ALL
+  SELECT conv_id, x, i + 2, (xor(h, ('0x' || substr(x, i, 2))::UHUGEINT) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT FROM h WHERE i < length(x))
+SELECT conv_id AS line_no, CAST(h % 16 AS INTEGER) AS bucket FROM h WHERE i > length(x)""")
+def prefix_bucket(spark, d):
+    return I.chats(spark, d).select("line_no", J.fnv_bucket(J.bucket_key(F.col("value")), 16).alias("bucket"))
+
+
+# Responses
+
+
+@query("""SELECT doc_id, CAST(100 + doc_id % 50 AS BIGINT) AS prompt_tokens, CAST(doc_id % 9 AS BIGINT) AS completion_tokens, CASE doc_id % 4 WHEN 0 THEN 100 + doc_id % 50 + doc_id % 9 ELSE 0 END AS total_tokens, CASE doc_id % 4 WHEN 1 THEN doc_id % 30 ELSE 0 END AS cached_tokens, CAST(0 AS BIGINT) AS reasoning_tokens FROM documents""")
+def token_usage_openai(spark, d):
+    k = F.col("doc_id")
+    head = F.concat(F.lit('{"prompt_tokens":'), 100 + k % 50, F.lit(',"completion_tokens":'), k % 9)
+    tail = F.when(k % 4 == 0, F.concat(F.lit(',"total_tokens":'), 100 + k % 50 + k % 9)).when(k % 4 == 1, F.concat(F.lit(',"prompt_tokens_details":{"cached_tokens":'), k % 30, F.lit("}"))).when(k % 4 == 2, F.lit(',"total_tokens":"7"')).otherwise(F.lit(',"total_tokens":5.0,"completion_tokens_details":{"reasoning_tokens":-3}'))
+    return I.read(spark, d, "documents").select("doc_id", J.usage_openai(J.parsed(F.concat(head, tail, F.lit("}")))).alias("u")).select("doc_id", "u.*")
+
+
+@query("SELECT doc_id, 10 + doc_id % 7 + doc_id % 5 + doc_id % 11 AS prompt_tokens, doc_id % 3 AS completion_tokens, 10 + doc_id % 7 + doc_id % 5 + doc_id % 11 + doc_id % 3 AS total_tokens, doc_id % 11 AS cached_tokens, CAST(0 AS BIGINT) AS reasoning_tokens FROM documents")
+def token_usage_anthropic(spark, d):
+    k = F.col("doc_id")
+    usage = F.to_json(F.struct((10 + k % 7).alias("input_tokens"), (k % 5).alias("cache_creation_input_tokens"), (k % 11).alias("cache_read_input_tokens"), (k % 3).alias("output_tokens")))
+    return I.read(spark, d, "documents").select("doc_id", J.usage_of(F.lit("messages"), J.parsed(usage)).alias("u")).select("doc_id", "u.*")
+
+
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'empty output content' WHEN 2 THEN 'response has no choices' WHEN 3 THEN 'response choice has no text content' WHEN 4 THEN NULL WHEN 5 THEN 'output is not valid JSON' WHEN 6 THEN 'empty embedding vector' ELSE 'response has no content text' END AS problem FROM documents""")
+def response_check(spark, d):
+    k = F.col("doc_id") % 8
+    bodies = ('{"choices":[{"message":{"content":"fine"}}]}', '{"choices":[{"message":{"content":" \\n "}}]}', '{"choices":[]}', '{"choices":[{"message":{"content":5}}]}', '{"choices":[{"text":"{\\"a\\": 1}"}]}', '{"choices":[{"text":"```json {} ```"}]}', '{"data":[{"embedding":[]}]}', '{"content":[]}')
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    rows = I.read(spark, d, "documents").select("doc_id", pick(bodies).alias("body"), pick(("chat", "chat", "chat", "chat", "completions", "completions", "embeddings", "messages")).alias("kind"), pick(("non_empty",) * 4 + ("json", "json", "non_empty", "json")).alias("check"))
+    return rows.select("doc_id", J.response_problem(F.col("check"), F.col("kind"), J.parsed(F.col("body"))).alias("problem"))
+
+
+@query("SELECT user_id, max(CASE event_type WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN least((1 + event_id % 200) * 1000.0::DOUBLE, 120000) END WHEN 'error' THEN least((event_id % 4) * 60000.0::DOUBLE + 1500, 120000) WHEN 'view' THEN 500.0::DOUBLE END) AS pause_ms FROM events GROUP BY user_id")
+def cooldown_ms(spark, d):
+    k, t = F.col("event_id"), F.col("event_type")
+    text = lambda c: c.cast("string")
+    headers = (
+        F.when(t == "click", F.create_map(F.lit("retry-after"), F.when(k % 3 == 0, text(1 + k % 200)).otherwise(F.lit("Wed, 21 Oct 2015 07:28:00 GMT"))))
+        .when(t == "error", F.create_map(F.lit("x-ratelimit-remaining-tokens"), F.lit("0"), F.lit("x-ratelimit-reset-tokens"), F.concat(text(k % 4), F.lit("m1.5s"))))
+        .when(t == "view", F.create_map(F.lit("x-ratelimit-remaining-requests"), F.lit("0.0"), F.lit("x-ratelimit-reset-requests"), F.lit("500ms")))
+        .otherwise(F.create_map(F.lit("x-ratelimit-remaining-tokens"), F.lit("3"), F.lit("x-ratelimit-reset-tokens"), F.lit("9s")))
+    )
+    return I.read(spark, d, "events").select("user_id", X.cooldown_ms(headers).alias("p")).groupBy("user_id").agg(F.max("p").alias("pause_ms"))
+
+
+@query("SELECT s_suppkey AS worker, CASE s_suppkey % 4 WHEN 0 THEN CAST(s_nationkey AS BIGINT) WHEN 1 THEN CAST(1 + s_suppkey % 2 AS BIGINT) WHEN 2 THEN CAST(s_nationkey + 4 AS BIGINT) END AS load FROM supplier")
+def load_parse(spark, d):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    body = (
+        F.when(k % 4 == 0, F.concat(F.lit('# HELP x\nvllm:num_requests_running 99\nvllm:num_requests_waiting{m="a"} '), n, F.lit(" 171234\n")))
+        .when(k % 4 == 1, F.concat(F.lit('[{"is_processing":true},{"is_processing":false,"state":1},{"state":'), (k % 2).cast("string"), F.lit("}]")))
+        .when(k % 4 == 2, F.concat(F.lit('{"internal_states":[{"num_waiting_reqs":'), n, F.lit('},{"waiting_queue_len":4},{}]}')))
+        .otherwise(F.lit("{}"))
+    )
+    hint = F.when(k % 4 == 0, "vllm").when(k % 4 == 1, "llama_cpp").when(k % 4 == 2, "sglang").otherwise("router")
+    return I.read(spark, d, "supplier").select(k.alias("worker"), J.server_load(hint, body).alias("load"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'terminate' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'terminate' END WHEN 'purchase' THEN CASE WHEN event_id % 3 <> 0 THEN 'terminate' END WHEN 'error' THEN 'rebalance' END AS kind, CASE event_type WHEN 'click' THEN 't' || event_id WHEN 'purchase' THEN CASE WHEN event_id % 3 <> 0 THEN 'n' || event_id END WHEN 'error' THEN 'r' || event_id END AS deadline FROM events")
+def interruption_decode(spark, d):
+    k, t = F.col("event_id"), F.col("event_type")
+    cloud = F.when(t == "click", "aws").when(t == "view", "gcp").when(t == "purchase", "azure").when(t == "error", "aws_rebalance").otherwise("aws")
+    azure = F.concat(F.lit('{"Events":[{"EventType":"Reboot"},{"EventType":"'), F.when(k % 3 == 0, "Freeze").otherwise("Preempt"), F.lit('","NotBefore":"n'), k, F.lit('"}]}'))
+    body = F.when(t == "click", F.concat(F.lit('{"action":"stop","time":"t'), k, F.lit('"}'))).when(t == "view", F.when(k % 2 == 0, " true\n").otherwise("FALSE")).when(t == "purchase", azure).when(t == "error", F.concat(F.lit('{"noticeTime":"r'), k, F.lit('"}'))).otherwise("")
+    status = F.when(t == "signup", 404).otherwise(200)
+    return I.read(spark, d, "events").select("event_id", J.interruption(cloud, status, body).alias("n")).select("event_id", "n.kind", "n.deadline")
+
+
+# Dispatch and pacing
+
+
+_SLOTS = f"WITH {I.WRK}, w AS (SELECT *, row_number() OVER (ORDER BY worker) - 1 AS w, count(*) OVER () AS n FROM wk), s AS (SELECT *, unnest(range(0, cap)) AS k FROM w)"
+
+
+@query(f"{_SLOTS} SELECT item, worker FROM (SELECT row_number() OVER (ORDER BY k, (w - 7 + 100 * n) % n) - 1 AS item, worker FROM s) WHERE item < 20")
+def dispatch_round_robin(spark, d):
+    return dispatch.assign(I.workers(spark, d), 20, 7, load_aware=False)
+
+
+@query(f"{_SLOTS} SELECT item, worker FROM (SELECT row_number() OVER (ORDER BY coalesce(load, 4294967295), (w - 7 + 100 * n) % n, k) - 1 AS item, worker FROM s) WHERE item < 20")
+def dispatch_load_aware(spark, d):
+    return dispatch.assign(I.workers(spark, d), 20, 7)
+
+
+@query(f"{_SLOTS}, t AS (SELECT count(*) AS total FROM s), o AS (SELECT worker, row_number() OVER (ORDER BY coalesce(load, 4294967295), (w - 7 + 100 * n) % n) - 1 AS r, n FROM w) SELECT row_number() OVER (ORDER BY coalesce(load, 4294967295), (w - 7 + 100 * n) % n, k) - 1 AS item, worker FROM s UNION ALL SELECT i AS item, worker FROM (SELECT unnest(range((SELECT total FROM t), 1000)) AS i), o WHERE r = i % n")
+def dispatch_overflow(spark, d):
+    return dispatch.assign(I.workers(spark, d), 1000, 7)
+
+
+@query(f"WITH {I.WRK}, b AS (SELECT l_suppkey AS worker, count(*) AS busy FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) SELECT worker, greatest(greatest(cap, 1) - coalesce(busy, 0), 0) AS cap, load FROM wk LEFT JOIN b USING (worker) WHERE ready")
+def free_slots(spark, d):
+    return dispatch.free_slots(I.workers(spark, d), I.read(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("worker")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS worker, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type <> 'error' AS ok FROM events),
+r AS (SELECT DISTINCT worker, CAST(0 AS BIGINT) AS n, CAST(64 AS BIGINT) AS lim, CAST(0 AS BIGINT) AS streak FROM e UNION ALL
+  SELECT r.worker, r.n + 1, CASE WHEN NOT ok THEN greatest(lim // 2, 1) WHEN streak + 1 >= 8 AND lim < 64 THEN lim + 1 ELSE lim END, CASE WHEN NOT ok OR (streak + 1 >= 8 AND lim < 64) THEN 0 ELSE streak + 1 END FROM r JOIN e ON e.worker = r.worker AND e.n = r.n + 1)
+SELECT worker, lim AS "limit", streak FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY n DESC) AS rn FROM r) WHERE rn = 1""")
+def aimd_replay(spark, d):
+    events = I.read(spark, d, "events").select(F.col("user_id").alias("worker"), F.struct("ts", "event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
+    return dispatch.aimd(events, 64)
+
+
+@query("SELECT event_id, max(epoch_us(ts) // 1000 + CAST(floor(value) AS BIGINT) * 100) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id ROWS UNBOUNDED PRECEDING) AS blocked_until FROM events")
+def cooldown_running(spark, d):
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = I.read(spark, d, "events").select("event_id", F.col("user_id").alias("worker"), F.struct(at.alias("a"), "event_id").alias("seq"), at.alias("at_ms"), (F.floor("value") * 100).alias("pause_ms"))
+    return dispatch.cooldown_until(rows).select("event_id", "blocked_until")
+
+
+@query(f"WITH {I.RES} SELECT max(latency_ms) AS peak_ms, least(greatest(max(latency_ms) * 2, 300), 1500) AS ttl_ms FROM res")
+def adaptive_lease_ttl(spark, d):
+    return dispatch.lease_ttl_of(I.results(spark, d), 300, 1500)
+
+
+@query("SELECT attempt, CAST(least(500 * 2 ** attempt, 30000) AS BIGINT) AS ceiling_ms, attempt >= 5 AS exhausted FROM (SELECT CAST(unnest(range(0, 12)) AS BIGINT) AS attempt)")
+def backoff_envelope(spark, d):
+    return spark.range(12).select(F.col("id").alias("attempt"), X.backoff_ceiling(F.col("id")).alias("ceiling_ms"), X.exhausted(F.col("id")).alias("exhausted"))
+
+
+@query("SELECT status, status IN (408, 429) OR status BETWEEN 500 AND 599 AS retryable FROM (SELECT CAST(unnest(range(200, 600)) AS BIGINT) AS status)")
+def retryable_statuses(spark, d):
+    return spark.range(200, 600).select(F.col("id").alias("status"), X.retryable(F.col("id")).alias("retryable"))
+
+
+@query("SELECT n_nationkey AS worker, CAST(count(*) FILTER (c_acctbal > 0) AS BIGINT) AS part, round(CASE WHEN count(*) = 0 THEN 0 ELSE count(*) FILTER (c_acctbal > 0) / count(*) * 100 END, 6) AS pct FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def percent_of(spark, d):
+    by = I.read(spark, d, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("part"), F.count(F.lit(1)).alias("whole"))
+    joined = I.read(spark, d, "nation").join(by, F.col("n_nationkey") == F.col("c_nationkey"), "left").fillna(0, ["part", "whole"])
+    return joined.select(F.col("n_nationkey").alias("worker"), "part", F.round(X.percent(F.col("part"), F.col("whole")), 6).alias("pct"))
+
+
+# REST views
+
+
+def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = I.read(spark, d, "orders")
+    k = F.col("o_custkey")
+    null = F.lit(None).cast("long")
+    made = orders.groupBy(k.alias("k")).agg(F.unix_millis(F.min(F.col("o_orderdate").cast("timestamp"))).alias("made_at"))
+    rows = made.select(F.concat(F.lit("batch-"), "k").alias("id"), F.lit("/v1/chat/completions").alias("endpoint"), F.concat(F.lit("file-"), "k").alias("input_file_id"), F.lit("24h").alias("completion_window"), F.when(F.col("k") % 7 == 0, "cancelled").otherwise("in_progress").alias("status"), F.lit(None).cast("string").alias("output_file_id"), F.lit(None).cast("string").alias("error_file_id"), F.col("made_at").alias("created_at"), F.col("made_at").alias("in_progress_at"), null.alias("completed_at"), F.when(F.col("k") % 7 == 0, F.col("made_at")).alias("cancelled_at"))
+    states = I.states(spark, d).join(orders.select(F.concat(F.lit("ord-"), "o_orderkey").alias("custom_id"), F.concat(F.lit("batch-"), "o_custkey").alias("batch_id")), "custom_id").select("batch_id", "status")
+    return rows, states
+
+
+_BATCH = f"WITH {I.ST}, b AS (SELECT o_custkey AS k, min(epoch_ms(o_orderdate)) AS made_at, count(*) AS total, count(*) FILTER (status = 'done') AS completed, count(*) FILTER (status = 'dead_letter') AS failed, count(*) FILTER (status IN ('pending', 'leased')) AS open FROM orders JOIN st ON custom_id = 'ord-' || o_orderkey GROUP BY 1)"
+
+
+@query(f"{_BATCH} SELECT 'batch-' || k AS id, 'batch' AS object, CASE WHEN k % 7 = 0 THEN 'cancelled' ELSE 'in_progress' END AS status, made_at AS created_at, total, completed, failed FROM b")
+def batch_objects(spark, d):
+    return batches.batch_objects(*_batches(spark, d)).select("id", "object", "status", "created_at", "request_counts.total", "request_counts.completed", "request_counts.failed")
+
+
+@query(f"{_BATCH} SELECT 'batch-' || k AS id, made_at AS created_at FROM b ORDER BY made_at DESC, id LIMIT 20")
+def batch_list(spark, d):
+    return batches.listed(_batches(spark, d)[0]).select("id", "created_at")
+
+
+@query(f"{_BATCH} SELECT 'batch-' || k AS id, CASE WHEN k % 7 = 0 THEN 'cancelled' WHEN open = 0 THEN 'completed' ELSE 'in_progress' END AS status, CASE WHEN k % 7 <> 0 AND open = 0 THEN {I.NOW} END AS completed_at, CASE WHEN k % 7 <> 0 AND open = 0 AND total > failed THEN 'file-out-batch-' || k END AS output_file_id, CASE WHEN k % 7 <> 0 AND open = 0 AND failed > 0 THEN 'file-err-batch-' || k END AS error_file_id FROM b")
+def batch_finalize(spark, d):
+    return batches.finished(*_batches(spark, d), I.NOW).select("id", "status", "completed_at", "output_file_id", "error_file_id")
+
+
+@query("SELECT 'file-' || page_id AS id, 'file' AS object, strlen(html) AS bytes, 'batch' AS purpose FROM pages")
+def file_objects(spark, d):
+    files = I.read(spark, d, "pages").select(F.concat(F.lit("file-"), "page_id").alias("id"), F.octet_length("html").cast("long").alias("bytes"), F.lit(I.NOW).cast("long").alias("created_at"), F.col("url").alias("filename"), F.lit("batch").alias("purpose"))
+    return batches.file_objects(files).select("id", "object", "bytes", "purpose")
+
+
+@query(f"WITH {I.ST} SELECT count(*) AS total, count(*) FILTER (status = 'done') AS completed, count(*) FILTER (status = 'dead_letter') AS failed FROM st")
+def request_counts(spark, d):
+    return batches.request_counts(I.states(spark, d))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$', 0), '(.)\\.[^.]*$', '\\1'), '[^A-Za-z0-9_-]', '_', 'g') AS s, CASE WHEN s = '' THEN 'job' ELSE s END AS job FROM pages")
+def object_job_id(spark, d):
+    return I.read(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(F.substring_index("url", "/", -1), r"(?<=.)\.[^.]*$", ""), "[^A-Za-z0-9_-]", "_").alias("s"), X.job_name(F.col("url")).alias("job"))
+
+
+@query(None)
+def replay_results(spark, d):
+    lines = jsonl.parse(I.chats(spark, d))
+    return workers.replay(lines.filter("error IS NULL").select("custom_id", "method", "url", "body"))
