@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,41 @@ def strict_json_error(text: Column) -> Column:
     return F.pandas_udf(_strict, "string")(text)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def raw_member(text: str | None, names: tuple[str, ...]) -> str | None:
+    """The text, as written, of the first of `names` that a JSON object has; None if it has none or is no object."""
+    if text is None:
+        return None
+    found, decoder = {}, json.JSONDecoder()
+    try:
+        at = _SPACE.match(text, 0).end()
+        if text[at] != "{":
+            return None
+        at = _SPACE.match(text, at + 1).end()
+        while text[at] != "}":
+            key, at = json.decoder.scanstring(text, at + 1)
+            at = _SPACE.match(text, _SPACE.match(text, at).end() + 1).end()
+            _, end = decoder.raw_decode(text, at)
+            found.setdefault(key, text[at:end])
+            at = _SPACE.match(text, end).end()
+            if text[at] == ",":
+                at = _SPACE.match(text, at + 1).end()
+    except (ValueError, IndexError, RecursionError):
+        return None
+    return next((found[name] for name in names if name in found), None)
+
+
+def raw_json(text: Column, *names: str) -> Column:
+    """The JSON text of a member as written: numbers and key order are kept."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: raw_member(t, names)).astype(object)
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def fnv1a(data: bytes) -> int:
     h = 0xCBF29CE484222325
     for b in data:
@@ -169,7 +205,8 @@ def sglang_waiting(body: Column) -> Column:
     states = F.when(is_kind(at(body, "$.internal_states"), "ARRAY"), array_at(body, "$.internal_states"))
     counts = F.filter(F.transform(states, lambda s: F.coalesce(unsigned_at(s, "$.num_waiting_reqs"), unsigned_at(s, "$.waiting_queue_len"))), lambda n: n.isNotNull())
     total = F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n))
-    return F.least(F.coalesce(total, unsigned_at(body, "$.waiting_queue_len"), unsigned_at(body, "$.num_waiting_reqs")), F.lit(4294967295))
+    found = F.coalesce(total, unsigned_at(body, "$.waiting_queue_len"), unsigned_at(body, "$.num_waiting_reqs"))
+    return F.when(found.isNotNull(), F.least(found, F.lit(4294967295)))
 
 
 def server_load(hint: Column, text: Column) -> Column:

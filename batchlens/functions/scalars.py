@@ -134,4 +134,5 @@ def cooldown_ms(headers: Column, most_ms: int = 120_000) -> Column:
     for what in ("requests", "tokens"):
         left = F.trim(headers[f"x-ratelimit-remaining-{what}"]).try_cast("double")
         found.append(F.when(left <= 0, reset_ms(headers[f"x-ratelimit-reset-{what}"])))
-    return F.least(F.greatest(*found), F.lit(float(most_ms)))
+    longest = F.greatest(*found)
+    return F.when(longest.isNotNull(), F.least(longest, F.lit(float(most_ms))))

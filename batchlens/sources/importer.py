@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchlens.functions.json_text import at, is_kind, parsed, strict_json_error, text_at
+from batchlens.functions.json_text import at, is_kind, parsed, raw_json, strict_json_error, text_at
 from batchlens.functions.scalars import default_path, is_blank, valid_custom_id
 from batchlens.schemas import KINDS
 
@@ -34,7 +34,7 @@ def normalize(rows: DataFrame, default: str = "chat", value: str = "value") -> D
         F.when(strict.isNotNull(), F.concat(F.lit("invalid JSON: "), strict)).when(custom_id.isNull(), "missing custom_id / recordId").when(~valid_custom_id(custom_id), "invalid custom_id")
         .when(body.isNull(), "missing body / params / modelInput").when(~is_kind(body, "OBJECT"), "body / params / modelInput is not a JSON object")
     )
-    source = F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in ("body", "params", "modelInput")])
+    source = raw_json(text, "body", "params", "modelInput")
     return rows.filter(~is_blank(text)).withColumn("error", error).select(
         *rows.columns, "error", F.when(F.col("error").isNull(), custom_id).alias("custom_id"), F.coalesce(text_at(v, "$.method"), F.lit("POST")).alias("method"),
         F.coalesce(text_at(v, "$.url"), infer_url(body, default)).alias("url"), source.alias("body"),

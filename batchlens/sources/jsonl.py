@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from batchlens.functions.json_text import at, is_kind, parsed, strict_json_error, text_at
+from batchlens.functions.json_text import at, is_kind, parsed, raw_json, strict_json_error, text_at
 from batchlens.functions.scalars import is_blank, valid_custom_id
 
 LINES = "file string, line_no long, byte_end long, value string"
@@ -132,7 +132,7 @@ def parse(rows: DataFrame, value: str = "value") -> DataFrame:
     good = lambda c: F.when(F.col("error").isNull(), c)
     return out.select(
         *rows.columns, "error", good(custom_id).alias("custom_id"), good(F.coalesce(text_at(v, "$.method"), F.lit("POST"))).alias("method"),
-        good(F.coalesce(text_at(v, "$.url"), F.lit(""))).alias("url"), good(F.get_json_object(text, "$.body")).alias("body"),
+        good(F.coalesce(text_at(v, "$.url"), F.lit(""))).alias("url"), good(raw_json(text, "body")).alias("body"),
     )
 
 
