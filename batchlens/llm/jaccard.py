@@ -59,15 +59,42 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sid long")
 
 
-PARTED = "part int, sids binary, counts binary, low binary, high binary"
+PARTED = "part int, sids binary, sizes binary, counts binary, low binary, high binary"
+
+
+def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal neighbours start, and their lengths."""
+    if not owner.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    return new, np.diff(np.append(new, owner.size))
+
+
+def _blobs(schema: str, columns: list[list]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], names)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
+    """Call finish with the key and rows of each run of equal keys (the first column) of sorted batches."""
+    now, rows = None, []
+    for batch in batches:
+        for key, *blobs in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+            if key != now and rows:
+                yield from finish(now, rows)
+                rows = []
+            now = key
+            rows.append(blobs)
+    if rows:
+        yield from finish(now, rows)
 
 
 def _parted(docs: DataFrame, parts: int, size: int) -> DataFrame:
-    """Shingles of all documents by part: for each part and slice of rows, the classes, how many shingles each has here, and their 40 bits."""
+    """Shingles of all documents by part: for each part and slice of rows, the classes, their set sizes, how many shingles each has here, and their 40 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", min(max(3 << 20, parts << 14), 16 << 20)):
                 values, counts = shingle_sets(batch.column("text"), size)
                 if not values.size:
                     continue
@@ -83,29 +110,27 @@ def _parted(docs: DataFrame, parts: int, size: int) -> DataFrame:
                 values, owner, part = values[order], owner[order], part[order]
                 edge = np.searchsorted(part, np.arange(parts + 1))
                 low, high = (values & U64(0xFFFFFFFF)).astype(np.uint32), ((values >> U64(32)) & U64(0xFF)).astype(np.uint8)
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[] for _ in range(6)]
                 for p in np.flatnonzero(np.diff(edge)):
                     a, b = edge[p], edge[p + 1]
-                    own = owner[a:b]
-                    new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    for column, value in zip(rows, (int(p), sids[own[new]].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), low[a:b].tobytes(), high[a:b].tobytes()), strict=True):
+                    new, lengths = _runs(owner[a:b])
+                    own = owner[a:b][new]
+                    for column, value in zip(rows, (int(p), sids[own].tobytes(), counts[own].astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes(), low[a:b].tobytes(), high[a:b].tobytes()), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["part", "sids", "counts", "low", "high"])
+                yield _blobs(PARTED, rows)
 
     return docs.select("text").mapInArrow(run, PARTED)
 
 
-SHARED = "sid long, part int, tokens binary, df binary"
+SHARED = "bucket int, sids binary, sizes binary, counts binary, tokens binary, df binary"
 
 
-def _shared(parted: DataFrame) -> DataFrame:
-    """Of every part and class the shingles that another class has too, with the number of classes."""
+def _shared(parted: DataFrame, buckets: int) -> DataFrame:
+    """Of every part the shingles that more than one class has, with the number of classes, by bucket of their class."""
 
-    def finish(part: int, rows: list[tuple]) -> pa.RecordBatch:
-        sids = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-        counts = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows]).astype(np.int64)
-        value = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(U64) | np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(U64) << U64(32)
-        edge = np.concatenate(([0], np.cumsum(counts)))
+    def finish(part: int, rows: list[list]) -> Iterator[pa.RecordBatch]:
+        sids, sizes, counts = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in ((0, np.int64), (1, np.uint32), (2, np.uint32)))
+        value = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]).astype(U64) | np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(U64) << U64(32)
         # A class that several slices sent is kept once.
         _, first = np.unique(sids, return_index=True)
         once = np.zeros(len(sids), bool)
@@ -113,54 +138,56 @@ def _shared(parted: DataFrame) -> DataFrame:
         keep = np.repeat(once, counts)
         value, owner = value[keep], np.repeat(np.arange(len(sids)), counts)[keep]
         order = np.argsort(value, kind="stable")
-        ordered = value[order]
-        start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if ordered.size else np.zeros(0, int)
-        runs = np.diff(np.append(start, ordered.size))
+        new, runs = _runs(value[order])
         df = np.empty(value.size, np.int64)
         df[order] = np.repeat(runs, runs)
         common = df > 1
-        value, owner, df = value[common], owner[common], np.minimum(df[common], 65535).astype(np.uint16)
-        new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if owner.size else np.zeros(0, int)
-        stop = np.append(new[1:], owner.size)
-        token = value | U64(part) << U64(40)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(sids[owner[new]]), pa.array(np.full(len(new), part, np.int32)), pa.array([token[a:b].tobytes() for a, b in zip(new, stop, strict=True)], pa.binary()), pa.array([df[a:b].tobytes() for a, b in zip(new, stop, strict=True)], pa.binary())],
-            ["sid", "part", "tokens", "df"],
-        )
+        value, owner, df = value[common] | U64(part) << U64(40), owner[common], np.minimum(df[common], 65535).astype(np.uint16)
+        bucket = (sids[owner] % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        value, owner, df, bucket = value[order], owner[order], df[order], bucket[order]
+        edge = np.searchsorted(bucket, np.arange(buckets + 1))
+        out: list[list] = [[] for _ in range(6)]
+        for k in np.flatnonzero(np.diff(edge)):
+            a, b = edge[k], edge[k + 1]
+            new, lengths = _runs(owner[a:b])
+            own = owner[a:b][new]
+            for column, x in zip(out, (int(k), sids[own].tobytes(), sizes[own].tobytes(), lengths.astype(np.uint32).tobytes(), value[a:b].tobytes(), df[a:b].tobytes()), strict=True):
+                column.append(x)
+        yield _blobs(SHARED, out)
+
+    return parted.mapInArrow(lambda batches: _streamed(batches, finish), SHARED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for part, *blobs in zip(*[batch.column(c).to_pylist() for c in ("part", "sids", "counts", "low", "high")], strict=True):
-                if part != now and rows:
-                    yield finish(now, rows)
-                    rows = []
-                now = part
-                rows.append(blobs)
-        if rows:
-            yield finish(now, rows)
 
-    return parted.mapInArrow(run, SHARED)
+def _needed(n: np.ndarray, percent: int) -> np.ndarray:
+    return -(-percent * n // 100)
 
 
-def _members(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Per class with shared shingles: sid, n, and its shared shingles rarest first."""
-    gathered = shared.groupBy("sid").agg(F.collect_list(F.struct("tokens", "df")).alias("pieces")).join(classes.select("sid", "n"), "sid")
+def _taken(n: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """How many shared shingles are in the prefix of sets of n shingles; none if they are too few to link with any set."""
+    take = np.clip(n - _needed(n, percent) + 1 - (n - shared), 0, shared)
+    return np.where(shared < _needed(n, percent), 0, take)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for pieces in batch.column("pieces").to_pylist():
-                tokens = np.concatenate([np.frombuffer(x["tokens"], np.int64) for x in pieces])
-                df = np.concatenate([np.frombuffer(x["df"], np.uint16) for x in pieces])
-                out.append(tokens[np.lexsort((tokens, df))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(out, pa.binary())], ["sid", "n", "tokens"])
 
-    return gathered.select("sid", "n", "pieces").mapInArrow(run, "sid long, n long, tokens binary")
+def _members(shared: DataFrame, percent: int) -> DataFrame:
+    """Per class whose prefix has shared shingles: sid, n (its set's size), central (how shared its shingles are on average) and its shared shingles rarest first."""
 
+    def finish(_: int, rows: list[list]) -> Iterator[pa.RecordBatch]:
+        sids, sizes, counts, tokens, df = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.int64, np.uint32, np.uint32, np.int64, np.uint16)))
+        names, first, owner = np.unique(sids, return_index=True, return_inverse=True)
+        owner = np.repeat(owner, counts)
+        chosen = _taken(sizes[first].astype(np.int64), np.bincount(owner, minlength=len(names)), percent) > 0
+        keep = chosen[owner]
+        names, first, tokens, df, owner = names[chosen], first[chosen], tokens[keep], df[keep], (np.cumsum(chosen) - 1)[owner[keep]]
+        order = np.lexsort((tokens, df, owner))
+        tokens, edge = tokens[order], np.searchsorted(owner[order], np.arange(len(names) + 1))
+        n = sizes[first].astype(np.int64)
+        central = np.bincount(owner, df, len(names)).astype(np.int64) * 1000 // np.maximum(n, 1)
+        for at in range(0, len(names), 2000):
+            to = min(at + 2000, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names[at:to]), pa.array(n[at:to]), pa.array(central[at:to]), pa.array([tokens[edge[i] : edge[i + 1]].tobytes() for i in range(at, to)], pa.binary())], ["sid", "n", "central", "tokens"])
 
-def _needed(n: np.ndarray, percent: int) -> np.ndarray:
-    return -(-percent * n // 100)
+    return shared.mapInArrow(lambda batches: _streamed(batches, finish), "sid long, n long, central long, tokens binary")
 
 
 def _postings(members: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +308,8 @@ def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent:
     classes = stage(spark, signed.filter("n_shingles > 0").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least")), "join-classes")
     parts = max(partitions(spark), 1)
     parted = _parted(docs, parts, size).repartition(parts, "part").sortWithinPartitions("part")
-    members = stage(spark, _members(_shared(parted), classes), "join-members")
+    shared = _shared(parted, parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    members = stage(spark, _members(shared, percent), "join-members")
     _, labels = links(spark, members, percent)
     known = classes.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
