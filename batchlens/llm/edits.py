@@ -233,13 +233,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = LIKENES
     Candidates share one of BANDS bands of WIDTH sampled slots; links are verified on whole fingerprints. Equal
     fingerprints are one class. Buckets are linked to hubs first and expanded only between components.
     """
-    from batchlens.llm.jaccard import _cross_pairs, _hub_pairs, connected
+    from batchlens.llm.jaccard import linked
 
     prints = stage(spark, fingerprints(docs).withColumn("sid", F.xxhash64("fingerprint")), "edit-prints")
     classes = stage(spark, prints.groupBy("sid").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least")), "edit-classes")
     slots = np.random.Generator(np.random.PCG64(7)).permutation(SLOTS)[: BANDS * WIDTH].reshape(BANDS, WIDTH) + 1
     bands = F.array(*[F.xxhash64(F.lit(b), F.concat(*[F.substring("fingerprint", int(s), 1) for s in row])) for b, row in enumerate(slots)])
-    postings = stage(spark, classes.select(F.explode(bands).alias("token"), "sid", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("pos")), "edit-bands")
+    postings = stage(spark, classes.select(F.explode(bands).alias("token"), "sid", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("central"), F.lit(0).cast("long").alias("pos")), "edit-bands")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -250,10 +250,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = LIKENES
         a, b = (classes.select(F.col("sid").alias(k), F.col("fingerprint").alias(f"f{k}")) for k in "ab")
         return pairs.join(a, "a").join(b, "b").filter(alike("fa", "fb") >= least).select("a", "b")
 
-    found = stage(spark, verified(_hub_pairs(postings, 75)), "edit-first")
-    labels = connected(spark, found)
-    found = found.unionByName(stage(spark, verified(_cross_pairs(postings, labels, 75)), "edit-second"))
-    labels = connected(spark, found)
+    labels = linked(spark, postings, verified)
     known = classes.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
     return prints.join(known.join(lowest, "label").select("sid", "component_id"), "sid").select("doc_id", "fingerprint", "component_id")

@@ -8,8 +8,8 @@ similarity reaches `percent` / 100. Equal sets form one class, and classes are j
 2. A class orders its shingles rarest first. If two sets link, their prefixes of n - ceil(t * n) + 1 shingles share
    one, so only prefix shingles that another class has become postings.
 3. Candidates come from equal postings, pass the length and positional filters, and each pair once the suffix filter
-   and the exact check. First each posting list only proposes links to hubs (one of every `HUB` members), which is
-   linear in the list. Their links give first components. Then all pairs of a list whose ends are still in different
+   and the exact check. In turns, each posting list first only proposes links to hubs (one of every `HUB` members), which is
+   linear in the list. Their links give components. Then all pairs of a list whose ends are still in different
    components are proposed; pairs inside a component could change nothing. Nothing is capped, and lists inside one
    component are not expanded. Long lists are salted over tasks.
 4. Components are found by repeated minima over links and labels, in tables.
@@ -36,6 +36,8 @@ from batchlens.llm.kernels import U64, mix, shingle_sets, slices
 SIZE, PERCENT = 5, 75
 #: Members of a posting list for each hub, and of a salted share of a long list.
 HUB, SHARE = 512, 2048
+#: The most turns of hubs.
+TURNS = 4
 
 
 def _signature(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -52,7 +54,7 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 3 << 20):
                 values, counts = shingle_sets(batch.column("text"), size)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(_signature(values, counts))], ["doc_id", "n_shingles", "sid"])
 
@@ -191,7 +193,7 @@ def _members(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _postings(members: DataFrame, percent: int) -> DataFrame:
-    """Prefix shingles that another class has: token, sid, n, pos (place in the rarest-first order)."""
+    """Prefix shingles that another class has: token, sid, n, central, pos (place in the rarest-first order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,22 +201,21 @@ def _postings(members: DataFrame, percent: int) -> DataFrame:
             tokens = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
             shared = np.array([len(x) for x in tokens], np.int64)
             alone = n - shared
-            take = np.clip(n - _needed(n, percent) + 1 - alone, 0, shared)
-            # Sets that share too few shingles to reach the threshold with any other propose nothing.
-            take[shared < _needed(n, percent)] = 0
+            take = _taken(n, shared, percent)
             at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x[:k] for x, k in zip(tokens, take, strict=True)]) if len(tokens) else np.zeros(0, np.int64)), pa.array(np.repeat(sid, take)), pa.array(np.repeat(n, take)), pa.array(np.repeat(alone, take) + at)], ["token", "sid", "n", "pos"]
+                [pa.array(np.concatenate([x[:k] for x, k in zip(tokens, take, strict=True)]) if len(tokens) else np.zeros(0, np.int64)), pa.array(np.repeat(sid, take)), pa.array(np.repeat(n, take)), pa.array(np.repeat(batch.column("central").to_numpy(), take)), pa.array(np.repeat(alone, take) + at)], ["token", "sid", "n", "central", "pos"]
             )
 
-    return members.mapInArrow(run, "token long, sid long, n long, pos long")
+    return members.mapInArrow(run, "token long, sid long, n long, central long, pos long")
 
 
 def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs of rows (a, na, pa, b, nb, pb) that pass the length and positional filters."""
     long_enough = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    # Before both places lie at most the lesser of them in common, after them at most the shorter rest.
-    bound = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    # Of a pair that links, the first common shingle has nothing in common before it and at most the shorter rest after
+    # it. So it is enough to keep the rows that could be that first one.
+    bound = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     possible = F.lit(100 + percent) * bound >= F.lit(percent) * (F.col("na") + F.col("nb"))
     swap = F.col("a") > F.col("b")
     return joined.filter(long_enough & possible).select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
@@ -262,44 +263,75 @@ def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each member of a posting list against the hub of its share, and hubs against the list's first hub."""
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("sid").alias("head")).filter("members > 1")
-    shares = F.ceil(F.col("members") / HUB)
-    dealt = postings.join(lists, "token").withColumn("share", F.pmod(F.xxhash64("sid"), shares))
-    hubs = dealt.groupBy("token", "share").agg(F.min(F.struct("sid", "n", "pos")).alias("h"), F.first("head").alias("head"))
-    hubs = hubs.select("token", "share", F.col("h.sid").alias("b"), F.col("h.n").alias("nb"), F.col("h.pos").alias("pb"), "head")
-    near = dealt.select("token", "share", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(hubs.drop("head"), ["token", "share"]).filter("a <> b")
-    heads = hubs.filter("b = head").select("token", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("pb").alias("pa"))
-    far = hubs.filter("b <> head").select("token", "b", "nb", "pb").join(heads, "token")
-    columns = ["a", "na", "pa", "b", "nb", "pb"]
-    return _pairs(near.select(columns).unionByName(far.select(columns)), percent)
+def _named(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with the component of each member; without labels every class is its own."""
+    if labels is None:
+        return postings.withColumn("label", F.col("sid"))
+    return postings.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _live(named: DataFrame) -> DataFrame:
+    """Postings of lists that more than one component has and that can propose a pair: with members, main (the largest component) and main_size.
+
+    The smaller set of a pair has its first common shingle within what an equally large partner leaves it, so a list
+    needs a member that close to its own beginning (`early`).
+    """
+    parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"), F.max("early").alias("early"))
+    lists = parts.groupBy("token").agg(F.sum("size").alias("members"), F.max(F.struct("size", "label")).alias("m"), F.count(F.lit(1)).alias("components"), F.max("early").alias("any_early"))
+    lists = lists.filter("components > 1 AND any_early").select("token", "members", F.col("m.label").alias("main"), F.col("m.size").alias("main_size"))
+    return named.join(lists, "token")
+
+
+def _hub_pairs(live: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+    """Members of a posting list against the hub of their share, and hubs against the list's first hub, where components differ.
+
+    The first turn's hubs are the members whose shingles are shared most, which near copies of one text have in
+    common; later turns' are random ones.
+    """
+    weight = F.col("central") if turn == 0 else F.xxhash64("sid", F.lit(turn))
+    dealt = live.withColumn("share", F.pmod(F.xxhash64("sid"), F.ceil(F.col("members") / HUB))).withColumn("weight", weight)
+    hubs = dealt.groupBy("token", "share").agg(F.max(F.struct("weight", "sid", "n", "pos", "label")).alias("h"))
+    hubs = hubs.select("token", "share", F.col("h.weight").alias("wb"), F.col("h.sid").alias("b"), F.col("h.n").alias("nb"), F.col("h.pos").alias("pb"), F.col("h.label").alias("lb"))
+    near = dealt.select("token", "share", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la")).join(hubs.drop("wb"), ["token", "share"])
+    heads = hubs.groupBy("token").agg(F.max(F.struct("wb", "b", "nb", "pb", "lb")).alias("h")).select("token", F.col("h.b").alias("a"), F.col("h.nb").alias("na"), F.col("h.pb").alias("pa"), F.col("h.lb").alias("la"))
+    far = hubs.select("token", "b", "nb", "pb", "lb").join(heads, "token")
+    columns = ["a", "na", "pa", "la", "b", "nb", "pb", "lb"]
+    return _pairs(near.select(columns).unionByName(far.select(columns)).filter("la <> lb"), percent)
+
+
+def _cross_pairs(live: DataFrame, percent: int) -> DataFrame:
     """All pairs of posting lists between different components: those outside a list's largest component against all."""
-    named = postings.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
-    lists = parts.groupBy("token").agg(F.sum("size").alias("members"), F.max(F.struct("size", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("components"))
-    mixed = named.join(lists.filter("components > 1").drop("components"), "token").withColumn("shares", F.ceil(F.col("members") / SHARE))
+    mixed = live.withColumn("shares", F.ceil(F.col("members") / SHARE))
     probe = mixed.select("token", F.pmod(F.xxhash64("sid"), F.col("shares")).alias("share"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"), (F.col("label") == F.col("main")).alias("ma"))
     build = mixed.filter("label <> main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     # The filters are part of the join, so that pairs that fail are never rows.
-    long_enough = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    joined = probe.join(build, ["token", "share"]).filter((F.col("la") != F.col("lb")) & (F.col("ma") | (F.col("a") < F.col("b"))) & long_enough)
+    joined = probe.join(build, ["token", "share"]).filter((F.col("la") != F.col("lb")) & (F.col("ma") | (F.col("a") < F.col("b"))))
     return _pairs(joined, percent)
 
 
-def links(spark: SparkSession, members: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Links between classes that give all components, and the components (sid, label)."""
-    postings = stage(spark, _postings(members, percent), "join-postings")
-    first = stage(spark, _verified(_hub_pairs(postings, percent), members, percent), "join-first")
-    labels = connected(spark, first)
-    second = stage(spark, _verified(_cross_pairs(postings, labels, percent), members, percent), "join-second")
-    if second.limit(1).count():
-        first = first.unionByName(second)
-        labels = connected(spark, first)
-    return first, labels
+def linked(spark: SparkSession, postings: DataFrame, verify, percent: int = PERCENT) -> DataFrame:
+    """Components (sid, label) of classes whose posting lists (token, sid, n, central, pos) propose pairs that verify (pairs -> links) confirms.
+
+    Hub turns go on while they join components and far more pairs than postings would be left to compare; then all
+    pairs that are left between components are compared.
+    """
+    early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    live, labels, found, pairs = postings.withColumn("early", early), None, None, None
+    columns = live.columns
+    for turn in range(TURNS + 1):
+        live = stage(spark, _live(_named(live.select(columns), labels)), "join-live")
+        rows, left = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("label") != F.col("main"), F.col("members"))), F.lit(0))).first()
+        before, pairs = pairs, left
+        last = turn > 0 and (turn == TURNS or pairs <= 2 * rows or pairs > 0.8 * before)
+        links = stage(spark, verify(_cross_pairs(live, percent) if last else _hub_pairs(live, percent, turn)), "join-found")
+        if links.limit(1).count():
+            found = links if found is None else found.unionByName(links)
+            labels = connected(spark, found)
+        elif labels is None:
+            labels = spark.createDataFrame([], "sid long, label long")
+        if last or not rows:
+            break
+    return labels
 
 
 def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -310,7 +342,8 @@ def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent:
     parted = _parted(docs, parts, size).repartition(parts, "part").sortWithinPartitions("part")
     shared = _shared(parted, parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
     members = stage(spark, _members(shared, percent), "join-members")
-    _, labels = links(spark, members, percent)
+    postings = stage(spark, _postings(members, percent), "join-postings")
+    labels = linked(spark, postings, lambda pairs: _verified(pairs, members, percent), percent)
     known = classes.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
     found = stage(spark, known.join(lowest, "label").select("sid", "component_id"), "join-components")
@@ -322,7 +355,7 @@ def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent:
 def deduplicated(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, the one with the least doc_id; of rows that tie, any one that is first by text.
 
-    Rows with an empty set are linked with nothing and all stay, and so do rows without a doc_id whose component has none.
+    Rows with an empty set are linked with nothing and all stay, and so do rows without a doc_id.
     """
     found = components(spark, docs, size, percent)
     goes = found.filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("__join_goes")).distinct()
