@@ -129,3 +129,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: /source/lang/doc_id."""
     docs = table(spark, sf_dir, "documents")
     return scan(spark, docs.select("doc_id", F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
+_VALUES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+OP3_SQL = f"""
+WITH tpl(id, licence, txt) AS (VALUES {_VALUES}),
+tw AS (SELECT id, licence, word, count(*) AS tf FROM (SELECT id, licence, unnest(regexp_split_to_array(lower(txt), '[^a-z0-9]+')) AS word FROM tpl) WHERE word <> '' GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM documents),
+f AS (SELECT doc_id, concat_ws('/', '', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', '', source, lang) AS dir, text FROM documents),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS word FROM f) WHERE word IN (SELECT word FROM tw) GROUP BY word),
+idf AS (SELECT word, ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word), n),
+t AS (SELECT id, licence, word, tf * idf AS tw, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS tnorm FROM tw JOIN idf USING (word)),
+l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM f),
+w AS (SELECT doc_id, no, word, count(*) AS tf FROM (SELECT doc_id, no, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) AS word FROM l) WHERE word <> '' GROUP BY ALL),
+x AS (SELECT doc_id, no, word, tf, tf * coalesce(idf, ln((SELECT n FROM n) + 1.0::DOUBLE) + 1) AS w FROM w LEFT JOIN idf USING (word)),
+nm AS (SELECT doc_id, no, sqrt(sum(w * w)) AS norm, sum(tf) AS length FROM x GROUP BY ALL),
+d AS (SELECT doc_id, no, id, licence, sum(w * tw) AS dot, any_value(tnorm) AS tnorm FROM x JOIN t USING (word) GROUP BY ALL),
+s AS (SELECT doc_id, no, licence, length, round(dot / (norm * tnorm), 6) AS score FROM d JOIN nm USING (doc_id, no) WHERE round(dot / (norm * tnorm), 6) >= {THRESHOLD}),
+b AS (SELECT doc_id, no, arg_min(licence, (-score, licence)) AS licence, max(score) AS score, any_value(length) AS length FROM s GROUP BY ALL),
+o AS (SELECT doc_id, arg_min(licence, (-score, licence)) AS licence, max(score) AS score, sum(length) AS covered FROM b GROUP BY ALL),
+tot AS (SELECT doc_id, sum(tf) AS total FROM w GROUP BY ALL),
+c AS (SELECT dir, arg_min(licence, (-score, licence)) AS inherited FROM o JOIN tot USING (doc_id) JOIN f USING (doc_id) WHERE covered >= {FILE_SHARE} * total GROUP BY ALL)
+SELECT f.doc_id, f.path, coalesce(licence, inherited) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN licence IS NULL AND inherited IS NOT NULL THEN c.dir END AS directory
+FROM f LEFT JOIN o USING (doc_id) LEFT JOIN c USING (dir)
+"""

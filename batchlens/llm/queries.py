@@ -33,6 +33,7 @@ _QUERIES = {
 
 _SQL = {
     "op2_warc": warc.OP2_SQL,
+    "op3_licence_scan": licences.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_line_dedup": lines.OP10_SQL,
