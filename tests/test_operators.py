@@ -8,6 +8,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from batchlens.operators import batches, completeness, costs, dispatch, ledger, results, workers
 from batchlens.sources import importer, jsonl
@@ -241,3 +242,37 @@ def test_reports(spark):
     assert (row["done"], row["dead"], row["retried"], row["attempt_histogram"], row["failure_reasons"]) == (2, 1, 1, {1: 2, 2: 1}, {"other": 1})
     assert 'batchlens_items{state="done"} 2' in ledger.metrics_text(report).first()["text"]
     assert json.loads(ledger.json_report(ledger.status_report(states.limit(0))).first()["json"])["success_rate"] is None
+
+
+def test_result_readers(spark):
+    from batchlens.sources import result_files as R
+
+    good = '{"custom_id":"a","response":{"status_code":200,"body":{"x":1.50}},"usage":{"prompt_tokens":3,"completion_tokens":1},"worker_id":"w","latency_ms":5,"attempt":1,"completed_at":9}'
+    lines = spark.createDataFrame([(good,), ('{"custom_id":5,"usage":"bad"}',), ('{"no":1}',), ('{"custom_id":"b","usa',)], "value string")
+    assert [r["custom_id"] for r in R.ids(lines).collect()] == ["a"]
+    assert costs.totals(R.lenient(lines)).first()["items"] == 2
+    row = R.strict(lines).collect()
+    assert len(row) == 1 and (row[0]["body"], row[0]["prompt_tokens"], row[0]["kind"]) == ('{"x":1.50}', 3, "done")
+    assert R.result_lines(spark, "file:///nowhere/at/all", missing_ok=True).count() == 0
+    assert R.is_object_url("s3://b/x") and not R.is_object_url("/tmp/x")
+
+
+def test_run_and_resume(spark, tmp_path):
+    from batchlens.operators import runs
+
+    lines = spark.createDataFrame([(i, json.dumps({"custom_id": f"id-{i}", "body": {"prompt": "x"}})) for i in range(40)], "line_no long, value string")
+    store = f"file://{tmp_path}/run"
+    first = runs.run_batch(spark, lines.filter("line_no < 25"), store, workers.replay, 2).first()
+    again = runs.run_batch(spark, lines, store, workers.replay, 2).first()
+    assert first["complete"] and again["complete"] and again["input_ids"] == again["emitted_ids"] == 40
+    rows = spark.read.parquet(f"{store}/results")
+    assert rows.count() == rows.select("custom_id").distinct().count() == 40
+
+
+def test_stale_posts_are_not_acknowledged(spark, tmp_path):
+    from batchlens.operators import runs
+
+    states = spark.createDataFrame([("a", "leased", 2), ("b", "leased", 1)], "custom_id string, status string, attempts long")
+    posts = spark.createDataFrame([("a", 1, True), ("b", 1, True)], "custom_id string, generation long, ok boolean").withColumns({"status_code": F.lit(200), "body": F.lit("{}"), "error": F.lit(None).cast("string"), "prompt_tokens": F.lit(1), "completion_tokens": F.lit(1), "total_tokens": F.lit(2), "latency_ms": F.lit(3), "worker_id": F.lit("w")})
+    got = {r["custom_id"]: r["acked"] for r in runs.apply_posts(spark, posts, states, f"file://{tmp_path}/posts", 5).collect()}
+    assert got == {"a": False, "b": True}
