@@ -117,7 +117,7 @@ def foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as lines of foreign batch files, some broken: line_no (doc_id) and value."""
     k = F.col("doc_id")
     name = F.concat(F.when(k % 17 == 0, F.lit("bad doc ")).otherwise(F.lit("doc-")), F.when(k % 29 == 1, k - 1).otherwise(k))
-    text = F.substring("text", 1, 200)
+    text = F.col("text")
     native = F.to_json(F.struct(name.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), F.struct(F.array(F.struct(F.lit("user").alias("role"), text.alias("content"))).alias("messages")).alias("body")))
     params = F.to_json(F.struct(name.alias("custom_id"), F.struct(text.alias("prompt")).alias("params")))
     record = F.to_json(F.struct(name.alias("recordId"), F.struct(text.alias("input")).alias("modelInput")))

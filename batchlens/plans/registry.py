@@ -55,14 +55,14 @@ def verify_report(spark, d):
     return completeness.report(I.requests(spark, d), completeness.emitted(I.results(spark, d)))
 
 
-@query("""WITH i AS (SELECT 'doc-' || doc_id || CASE WHEN doc_id % 17 = 0 THEN ' x' ELSE '' END AS id FROM documents UNION ALL SELECT 'doc-' || doc_id FROM documents WHERE doc_id % 10 = 1 AND doc_id % 17 <> 0),
+@query("""WITH i AS (SELECT 'doc-' || doc_id || CASE WHEN doc_id % 17 = 0 THEN ' x' ELSE '' END AS id FROM documents UNION ALL SELECT 'doc-' || doc_id FROM labels),
 v AS (SELECT id, count(*) AS n FROM i WHERE regexp_full_match(id, '[a-zA-Z0-9_-]{1,64}') GROUP BY id), e AS (SELECT DISTINCT 'doc-' || (doc_id + 3) AS id FROM labels), j AS (SELECT v.id AS a, e.id AS b, n FROM v FULL JOIN e ON v.id = e.id)
 SELECT count(a) AS input_ids, count(b) AS emitted_ids, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS matched, count(*) FILTER (b IS NULL) AS missing, count(*) FILTER (a IS NULL) AS extra,
   CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_input, (SELECT count(*) FROM i WHERE NOT regexp_full_match(id, '[a-zA-Z0-9_-]{1,64}')) AS rejected_input, count(*) FILTER (b IS NULL) = 0 AS complete FROM j""")
 def verify_report_with_rejects(spark, d):
     docs = I.read(spark, d, "documents")
     ids = docs.select(F.concat(F.lit("doc-"), "doc_id", F.when(F.col("doc_id") % 17 == 0, " x").otherwise("")).alias("custom_id"))
-    again = docs.filter("doc_id % 10 = 1 AND doc_id % 17 <> 0").select(F.concat(F.lit("doc-"), "doc_id").alias("custom_id"))
+    again = I.read(spark, d, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("custom_id"))
     return completeness.report(ids.unionByName(again), I.read(spark, d, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id") + 3).alias("custom_id")))
 
 
@@ -399,9 +399,9 @@ def dispatch_overflow(spark, d):
     return dispatch.assign(I.workers(spark, d), 1000, 7)
 
 
-@query(f"WITH {I.WRK}, b AS (SELECT l_suppkey AS worker, count(*) AS busy FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) SELECT worker, greatest(greatest(cap, 1) - coalesce(busy, 0), 0) AS cap, load FROM wk LEFT JOIN b USING (worker) WHERE ready")
+@query(f"WITH {I.WRK}, b AS (SELECT l_suppkey AS worker, count(*) AS busy FROM lineitem WHERE l_quantity < 2 AND l_discount = 0 GROUP BY 1) SELECT worker, greatest(greatest(cap, 1) - coalesce(busy, 0), 0) AS cap, load FROM wk LEFT JOIN b USING (worker) WHERE ready")
 def free_slots(spark, d):
-    return dispatch.free_slots(I.workers(spark, d), I.read(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("worker")))
+    return dispatch.free_slots(I.workers(spark, d), I.read(spark, d, "lineitem").filter("l_quantity < 2 AND l_discount = 0").select(F.col("l_suppkey").alias("worker")))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id AS worker, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type <> 'error' AS ok FROM events),
