@@ -16,7 +16,8 @@ allowed, as rows are told apart by their text. Very long texts are taken whole.
 Extra columns pass through `cleaned`; working columns have names starting with `__line_`.
 
 Texts are told apart by a 64-bit hash. Only leaves that several texts reach are expanded into words, counts are
-aggregated before they are shuffled, and texts are joined with their dropped line numbers by hash.
+aggregated before they are shuffled, and texts are joined with their dropped line numbers by hash. Those joins are
+sort-merge joins at every size: the tables of leaves and dropped lines grow with the corpus.
 """
 
 from __future__ import annotations
@@ -49,20 +50,20 @@ def dropped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, cons
     texts = narrow.select("leaf", "__line_text").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_docs)
     leaves = stage(spark, texts.select("leaf"), "line-leaves")
     # Different lines of leaves that enough texts reach, with the texts of each.
-    support = narrow.join(leaves, "leaf", "left_semi").select("leaf", "hash", "__line_text").distinct().groupBy("leaf", "hash").agg(F.count(F.lit(1)).alias("texts"))
+    support = narrow.join(leaves.hint("merge"), "leaf", "left_semi").select("leaf", "hash", "__line_text").distinct().groupBy("leaf", "hash").agg(F.count(F.lit(1)).alias("texts"))
     support = stage(spark, support, "line-support")
     wanted = support.select("leaf", "hash")
-    spelled = lines.select("leaf", F.xxhash64("line").alias("hash"), "line", "words").join(leaves, "leaf", "left_semi").groupBy("leaf", "hash").agg(F.first("line").alias("line"), F.first("words").alias("words"))
+    spelled = lines.select("leaf", F.xxhash64("line").alias("hash"), "line", "words").join(leaves.hint("merge"), "leaf", "left_semi").groupBy("leaf", "hash").agg(F.first("line").alias("line"), F.first("words").alias("words"))
     spelled = stage(spark, spelled.join(wanted, ["leaf", "hash"]).join(support, ["leaf", "hash"]), "line-spelled")
     words = spelled.select("leaf", "hash", "texts", "words", F.posexplode(F.split("line", " ")).alias("place", "word"))
     steady = words.groupBy("leaf", "place", "word").agg(F.sum("texts").alias("in_texts")).filter(F.col("in_texts") >= min_docs).filter(F.col("word") != VARIABLE)
     fixed = words.join(steady.select("leaf", "place", "word"), ["leaf", "place", "word"]).groupBy("leaf", "hash").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("fixed"))
     templates = spelled.select("leaf", "hash", "words").join(fixed, ["leaf", "hash"]).filter(F.size("fixed") >= F.lit(constant) * F.col("words"))
     templates = stage(spark, templates.select("leaf", "hash", F.xxhash64("leaf", "fixed").alias("template")), "line-templates")
-    of_text = narrow.join(templates, ["leaf", "hash"])
+    of_text = narrow.join(templates.hint("merge"), ["leaf", "hash"])
     recurs = of_text.select("template", "__line_text").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_docs).select("template")
     gone = stage(spark, of_text.join(recurs, "template", "left_semi").select("__line_text", "__line_no", "words"), "line-gone")
-    total = narrow.join(gone.select("__line_text").distinct(), "__line_text", "left_semi").groupBy("__line_text").agg(F.sum("words").alias("total"))
+    total = narrow.join(gone.select("__line_text").distinct().hint("merge"), "__line_text", "left_semi").groupBy("__line_text").agg(F.sum("words").alias("total"))
     found = gone.groupBy("__line_text").agg(F.sum("words").alias("lost"), F.sort_array(F.collect_list("__line_no")).alias("__line_drop"))
     found = found.join(total, "__line_text").filter(F.col("lost") <= F.lit(copy_share) * F.col("total"))
     return stage(spark, found.select("__line_text", "__line_drop"), "line-dropped")
@@ -71,7 +72,7 @@ def dropped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, cons
 def cleaned(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, keep: bool = False) -> DataFrame:
     """docs with the lines of recurring templates taken out of text; with `keep`, also __line_n and __line_lost, the lines there were and those dropped."""
     drop = dropped(spark, docs, min_docs)
-    rows = docs.withColumn("__line_text", F.xxhash64("text")).join(drop, "__line_text", "left")
+    rows = docs.withColumn("__line_text", F.xxhash64("text")).join(drop.hint("merge"), "__line_text", "left")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__line_drop", i)), "\n")
     text = F.when(F.col("__line_drop").isNull(), F.col("text")).otherwise(left)
