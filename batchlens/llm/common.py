@@ -45,12 +45,13 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a staged table that nothing reads any more."""
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import stage, table
+from batchlens.llm.common import discard, stage, table
 
 DEPTH, MIN_DOCS, CONSTANT, COPY_SHARE = 4, 3, 0.6, 0.6
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -66,7 +66,9 @@ def dropped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, cons
     total = narrow.join(gone.select("__line_text").distinct().hint("merge"), "__line_text", "left_semi").groupBy("__line_text").agg(F.sum("words").alias("total"))
     found = gone.groupBy("__line_text").agg(F.sum("words").alias("lost"), F.sort_array(F.collect_list("__line_no")).alias("__line_drop"))
     found = found.join(total, "__line_text").filter(F.col("lost") <= F.lit(copy_share) * F.col("total"))
-    return stage(spark, found.select("__line_text", "__line_drop"), "line-dropped")
+    out = stage(spark, found.select("__line_text", "__line_drop"), "line-dropped")
+    discard(spark, narrow, leaves, support, spelled, templates, gone)
+    return out
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, keep: bool = False) -> DataFrame:
