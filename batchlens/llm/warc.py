@@ -3,8 +3,8 @@
 Writing: every page becomes a `response` record whose block is an HTTP response with its payload (the html in UTF-8) in
 chunked transfer framing, or a `revisit` record where the same payload is stored under a smaller page id. A block
 longer than a segment is cut: the record holds the first segment and continuation records the others, with the origin's
-record id, their segment number and, on the last, the total length. Records are written as they are into uncompressed
-files of a bounded number of records, so that a file never exceeds records times segment length.
+record id, their segment number and, on the last, the total length. Records are written as they are into gzipped files
+of a bounded number of records, so that a file never holds more than records times segment length.
 
 Reading: files are parsed into records. Continuation records are grouped by the origin identifier and ordered by
 segment number in a sorted shuffle that one reader streams through, so a page is in memory and never a group of pages.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,6 +91,16 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + length + 4
 
 
+def unzipped(data: bytes) -> bytes:
+    """An archive's bytes, of any number of gzip members or plain."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out) + data
+
+
 def write(spark: SparkSession, pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT, per_file: int = RECORDS) -> None:
     """Write the archives of pages (page_id, url, html) below path."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
@@ -127,7 +138,7 @@ def write(spark: SparkSession, pages: DataFrame, path: str, least: int = LEAST,
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     lines = rows.select("page_id", "url", "holder", "html").mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 PIECE = "origin string, number int, total long, page_id long, record_type string, digest string, length long, refers_to long, block binary"
@@ -140,7 +151,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column("content"):
                 out = []
-                for fields, block in records(data.as_py()):
+                for fields, block in records(unzipped(data.as_py())):
                     whole = lambda name, fields=fields: int(fields[name]) if name in fields else None
                     origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
                     out.append((origin, whole("warc-segment-number"), whole("warc-segment-total-length"), whole("x-page-id"), fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:"), whole("x-payload-length"), whole("x-refers-to-page"), block))
