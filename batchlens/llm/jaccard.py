@@ -36,8 +36,8 @@ from batchlens.llm.kernels import U64, mix, shingle_sets, slices
 SIZE, PERCENT = 5, 75
 #: Members of a posting list for each hub, and of a salted share of a long list.
 HUB, SHARE = 512, 2048
-#: The most turns of hubs.
-TURNS = 4
+#: The most turns of hubs, and the most links that one task unites (16 bytes each).
+TURNS, SMALL = 1, 1_000_000
 
 
 def _signature(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -244,9 +244,38 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """sid and label (the least sid reachable) of every end of links (a, b), by minima over neighbours and label jumps."""
-    both = stage(spark, links.select("a", "b").union(links.select("b", "a")).distinct(), "join-links")
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of one task, by repeated minima over arrays."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    a, b = (np.concatenate([x.column(c).to_numpy() for x in batches]) for c in ("a", "b"))
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["sid", "label"])
+
+
+def connected(spark: SparkSession, links: DataFrame, small: int = SMALL) -> DataFrame:
+    """sid and label (the least sid reachable) of every end of links (a, b).
+
+    Up to `small` links are united in one task on an executor; more by minima over neighbours and label jumps in tables.
+    """
+    links = stage(spark, links.select("a", "b").distinct(), "join-links")
+    if links.count() <= small:
+        return stage(spark, links.coalesce(1).mapInArrow(_united, "sid long, label long"), "join-labels")
+    both = stage(spark, links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "join-both")
     labels = stage(spark, both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "join-labels")
     while True:
         near = both.join(labels.select(F.col("sid").alias("b"), "label"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("label").alias("near"))
@@ -319,7 +348,9 @@ def linked(spark: SparkSession, postings: DataFrame, verify, percent: int = PERC
     live, labels, found, pairs = postings.withColumn("early", early), None, None, None
     columns = live.columns
     for turn in range(TURNS + 1):
-        live = stage(spark, _live(_named(live.select(columns), labels)), "join-live")
+        old, live = live, stage(spark, _live(_named(live.select(columns), labels)), "join-live")
+        if turn:
+            discard(spark, old)
         rows, left = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("label") != F.col("main"), F.col("members"))), F.lit(0))).first()
         before, pairs = pairs, left
         last = turn > 0 and (turn == TURNS or pairs <= 2 * rows or pairs > 0.8 * before)
@@ -331,6 +362,7 @@ def linked(spark: SparkSession, postings: DataFrame, verify, percent: int = PERC
             labels = spark.createDataFrame([], "sid long, label long")
         if last or not rows:
             break
+    discard(spark, live)
     return labels
 
 
@@ -348,7 +380,7 @@ def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent:
     lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
     found = stage(spark, known.join(lowest, "label").select("sid", "component_id"), "join-components")
     out = signed.join(found, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("sid")).alias("class_id"))
-    discard(spark, members)
+    discard(spark, members, postings, classes)
     return out
 
 
@@ -360,7 +392,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent
     found = components(spark, docs, size, percent)
     goes = found.filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("__join_goes")).distinct()
     goes = stage(spark, goes, "join-goes")
-    kept = docs.join(goes, docs["doc_id"] == F.col("__join_goes"), "left_anti")
+    # Both sides grow with the corpus, so the join is a sort-merge join at every size.
+    kept = docs.join(goes.hint("merge"), docs["doc_id"] == F.col("__join_goes"), "left_anti")
     # Rows that repeat a kept doc_id with the same text are copies as well.
     repeated = stage(spark, kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__join_goes")), "join-repeated")
     once = kept.join(repeated, kept["doc_id"] == F.col("__join_goes"), "left_anti")

@@ -629,7 +629,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tabl
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["op2_warc", "op7_mixing", "op9_jaccard_join", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_warc", "op3_licence_scan", "op7_mixing", "op9_jaccard_join", "op10_line_dedup"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
@@ -670,3 +670,15 @@ def test_pipeline_stages(spark):
         if name == "packing":
             assert after.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
         before = after
+
+
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_components_of_links(spark, small):
+    draw = random.Random(18)
+    links = [(draw.randint(0, 120), draw.randint(0, 120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)]
+    label = {x: x for pair in links for x in pair}
+    for _ in range(300):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = jaccard.connected(spark, spark.createDataFrame(links, "a long, b long"), small)
+    assert {r["sid"]: r["label"] for r in got.collect()} == label
