@@ -8,8 +8,10 @@ same however the lines are partitioned. A template recurs if at least `MIN_DOCS`
 at least `CONSTANT` of its places are constant. Lines of recurring templates are dropped.
 
 Equal texts count as one, so copies of a document do not make its lines recur. A text of whose words more than
-`COPY_SHARE` stand in recurring lines is a near copy as a whole rather than a text with boilerplate: it keeps its lines,
-for the near-duplicate stage to judge the document.
+`COPY_SHARE` stand in recurring lines is kept whole by `op10`, as its SQL has it, on the guess that it is a near copy.
+With `judged`, as in the pipeline, that is checked: such texts are put into classes by the near-duplicate stage's own
+join, each class counts once, and a text of a class of several loses the lines that still recur then. Any other text
+loses all its recurring lines, whatever their share; if it has no others, its text is left empty and its row stays.
 
 Nulls and odd input: a null text stays null and has no lines; lines without words are kept; null and repeated ids are
 allowed, as rows are told apart by their text. Very long texts are taken whole. An empty table gives an empty result.
@@ -25,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.llm import jaccard
 from batchlens.llm.common import discard, stage, table
 
 DEPTH, MIN_DOCS, CONSTANT, COPY_SHARE = 4, 3, 0.6, 0.6
@@ -42,7 +45,19 @@ def _lines(docs: DataFrame) -> DataFrame:
     return texts.withColumn("leaf", F.xxhash64("words", F.substring_index("line", " ", DEPTH)))
 
 
-def dropped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, copy_share: float = COPY_SHARE) -> DataFrame:
+def _copies(spark: SparkSession, docs: DataFrame, mostly: DataFrame) -> DataFrame:
+    """Of the texts in mostly (__line_text), those that are near copies of one another: __line_text and __line_class."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").filter("text IS NOT NULL").join(mostly.select(F.col("__line_text").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    texts = stage(spark, texts.groupBy("doc_id").agg(F.first("text").alias("text")), "line-mostly")
+    found = jaccard.components(spark, texts).select(F.col("doc_id").alias("__line_text"), F.col("component_id").alias("__line_class"))
+    found = stage(spark, found, "line-classes")
+    several = found.groupBy("__line_class").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__line_class")
+    copies = stage(spark, found.join(several.hint("merge"), "__line_class", "left_semi").select("__line_text", "__line_class"), "line-copies")
+    discard(spark, texts, found)
+    return copies
+
+
+def dropped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, copy_share: float = COPY_SHARE, judged: bool = False) -> DataFrame:
     """Per text that loses lines: its hash and the numbers of the lines dropped."""
     lines = _lines(docs)
     # Lines as hashes; equal lines of one text count once for the tree.
@@ -62,18 +77,29 @@ def dropped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, cons
     templates = stage(spark, templates.select("leaf", "hash", F.xxhash64("leaf", "fixed").alias("template")), "line-templates")
     of_text = narrow.join(templates.hint("merge"), ["leaf", "hash"])
     recurs = of_text.select("template", "__line_text").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_docs).select("template")
-    gone = stage(spark, of_text.join(recurs, "template", "left_semi").select("__line_text", "__line_no", "words"), "line-gone")
+    gone = stage(spark, of_text.join(recurs, "template", "left_semi").select("__line_text", "__line_no", "words", *(["template"] if judged else [])), "line-gone")
     total = narrow.join(gone.select("__line_text").distinct().hint("merge"), "__line_text", "left_semi").groupBy("__line_text").agg(F.sum("words").alias("total"))
     found = gone.groupBy("__line_text").agg(F.sum("words").alias("lost"), F.sort_array(F.collect_list("__line_no")).alias("__line_drop"))
-    found = found.join(total, "__line_text").filter(F.col("lost") <= F.lit(copy_share) * F.col("total"))
+    found, some = found.join(total, "__line_text"), F.col("lost") <= F.lit(copy_share) * F.col("total")
+    if judged:
+        copies = _copies(spark, docs, found.filter(~some).select("__line_text"))
+        held = gone.select("template", "__line_text").distinct().join(copies.hint("merge"), "__line_text", "left")
+        # A class of near copies counts once; its texts lose what recurs even so.
+        held = stage(spark, held.select("template", "__line_text", "__line_class", F.coalesce("__line_class", "__line_text").alias("by")), "line-held")
+        still = held.select("template", "by").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") >= min_docs).select("template")
+        stays = held.filter("__line_class IS NOT NULL").join(still.hint("merge"), "template", "left_anti").select("template", "__line_text")
+        left = gone.join(stays.hint("merge"), ["template", "__line_text"], "left_anti")
+        found = left.groupBy("__line_text").agg(F.sort_array(F.collect_list("__line_no")).alias("__line_drop"))
+    else:
+        found = found.filter(some)
     out = stage(spark, found.select("__line_text", "__line_drop"), "line-dropped")
-    discard(spark, narrow, leaves, support, spelled, templates, gone)
+    discard(spark, narrow, leaves, support, spelled, templates, gone, *([copies, held] if judged else []))
     return out
 
 
-def cleaned(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, keep: bool = False) -> DataFrame:
-    """docs with the lines of recurring templates taken out of text; with `keep`, also __line_n and __line_lost, the lines there were and those dropped."""
-    drop = dropped(spark, docs, min_docs)
+def cleaned(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, keep: bool = False, judged: bool = False) -> DataFrame:
+    """docs with the lines of recurring templates taken out of text; with `judged`, texts mostly of such lines are kept only as near copies; with `keep`, also __line_n and __line_lost, the lines there were and those dropped."""
+    drop = dropped(spark, docs, min_docs, judged=judged)
     rows = docs.withColumn("__line_text", F.xxhash64("text")).join(drop.hint("merge"), "__line_text", "left")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__line_drop", i)), "\n")

@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go."""
     ship(spark)
-    cleaned = lines.cleaned(spark, docs)
+    cleaned = lines.cleaned(spark, docs, judged=True)
     return cleaned.withColumn("n_chars", _n_chars()) if "n_chars" in docs.columns else cleaned
 
 

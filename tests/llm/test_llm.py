@@ -263,6 +263,27 @@ def test_lines_equal_brute_force(spark):
     assert lines.cleaned(spark, docs(spark, [])).count() == 0
 
 
+def test_lines_mostly_recurring_go_unless_near_copies(spark):
+    draw = random.Random(20)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    some = lambda n: " ".join(word() for _ in range(n))
+    notice = some(55)
+    # Short texts, mostly of a notice; one of nothing else; near copies of one text, with and without the notice.
+    rows = [(i, f"{notice}\n{some(30)}") for i in range(6)] + [(10, notice)]
+    body, other = "\n".join(some(12) for _ in range(20)), "\n".join(some(60) for _ in range(3))
+    rows += [(20 + i, f"{body}\n{some(3)}") for i in range(4)] + [(30 + i, f"{other}\n{notice}\n{some(3)}") for i in range(4)]
+    want = {d: "" if d == 10 else t if 20 <= d < 30 else "\n".join(x for x in t.split("\n") if x != notice) for d, t in rows}
+    got = {r["doc_id"]: r["text"] for r in corpus_lines(spark, rows)}
+    assert got == want
+    assert corpus_lines(spark, []) == []
+
+
+def corpus_lines(spark, rows):
+    import corpus_pipeline
+
+    return corpus_pipeline.drop_lines(spark, docs(spark, rows), DIR).collect()
+
+
 # Edit fingerprints
 
 
