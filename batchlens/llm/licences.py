@@ -1,4 +1,4 @@
-"""Licence scans: sparse TF-IDF cosine of lines and licence files to templates, and inheritance from directories.
+"""Licence scans: sparse TF-IDF cosine of single lines to templates of notices, and inheritance from directories.
 
 All of it is DataFrame functions. A word's weight is its count times ln((N + 1) / (df + 1)) + 1 over all N files; words
 outside the templates' vocabulary weigh as if no file had them. Every line of every file is compared with the templates
@@ -8,6 +8,9 @@ into words. A file's licence is the best match of its lines. A file is a licence
 lines hold at least half of its words; its licence then covers its directory. A file without a match inherits from the
 nearest ancestor directory that has one, by equi-joins of directories with their ancestors.
 
+Not compared: runs of lines, notices inside longer lines, and whole files with full licence texts; the templates are
+notices of one sentence. A wrapped notice or a full licence text is found only as far as one of its lines matches.
+
 Nulls and odd input: a null or empty text matches nothing but may inherit; a null path is no directory's and inherits
 nothing; rows that repeat path and text share a result; null ids are allowed. Ties go to the first licence by name. Very
 long texts are taken whole. An empty table gives an empty result. Extra columns are ignored.
