@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from batchlens.llm.common import discard, partitions, stage, table
 from batchlens.llm.kernels import U64, mix, shingle_sets, slices
@@ -366,8 +365,8 @@ def linked(spark: SparkSession, postings: DataFrame, verify, percent: int = PERC
     return labels
 
 
-def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links) and class_id (equal sets)."""
+def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent: int = PERCENT, named: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links) and class_id (equal sets); with `named`, also the component's label, a class of it."""
     signed = stage(spark, signatures(docs, size), "join-signed")
     classes = stage(spark, signed.filter("n_shingles > 0").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least")), "join-classes")
     parts = max(partitions(spark), 1)
@@ -378,29 +377,36 @@ def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent:
     labels = linked(spark, postings, lambda pairs: _verified(pairs, members, percent), percent)
     known = classes.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = stage(spark, known.join(lowest, "label").select("sid", "component_id"), "join-components")
-    out = signed.join(found, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("sid")).alias("class_id"))
+    label = ["label"] if named else []
+    found = stage(spark, known.join(lowest, "label").select("sid", "component_id", *label), "join-components")
+    out = signed.join(found, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("sid")).alias("class_id"), *label)
     discard(spark, members, postings, classes)
     return out
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, the one with the least doc_id; of rows that tie, any one that is first by text.
+    """docs with one row of each component, one with the least doc_id; of rows that tie, one that is first by text in one class.
 
-    Rows with an empty set are linked with nothing and all stay, and so do rows without a doc_id.
+    Rows are kept or go by their own set, also where a doc_id is null or repeats with other texts. A component of rows
+    without a doc_id keeps one of them. Rows with an empty set are linked with nothing and all stay.
     """
-    found = components(spark, docs, size, percent)
-    goes = found.filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("__join_goes")).distinct()
-    goes = stage(spark, goes, "join-goes")
+    found = stage(spark, components(spark, docs, size, percent, named=True), "join-rows")
+    goes = found.filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("__join_goes"))
+    odd = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("__join_goes"))
+    odd = stage(spark, odd, "join-repeated")
+    goes = stage(spark, goes.unionByName(odd).distinct(), "join-goes")
     # Both sides grow with the corpus, so the join is a sort-merge join at every size.
-    kept = docs.join(goes.hint("merge"), docs["doc_id"] == F.col("__join_goes"), "left_anti")
-    # Rows that repeat a kept doc_id with the same text are copies as well.
-    repeated = stage(spark, kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__join_goes")), "join-repeated")
-    once = kept.join(repeated, kept["doc_id"] == F.col("__join_goes"), "left_anti")
-    many = kept.join(repeated, kept["doc_id"] == F.col("__join_goes"), "left_semi")
-    order = W.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("text")
-    many = many.withColumn("__join_n", F.row_number().over(order)).filter(F.col("__join_n").eqNullSafe(1) | (F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]")) == 0))
-    return once.unionByName(many.select(*docs.columns))
+    once = docs.filter("doc_id IS NOT NULL").join(goes.hint("merge"), docs["doc_id"] == F.col("__join_goes"), "left_anti")
+    # A null or repeated doc_id does not tell a row's set; its text does.
+    many = docs.join(odd, docs["doc_id"] == F.col("__join_goes"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    many = stage(spark, many.withColumn("__join_text", F.xxhash64("text")), "join-odd")
+    texts = many.groupBy("__join_text").agg(F.first("text").alias("text")).select(F.col("__join_text").alias("doc_id"), "text")
+    own = stage(spark, signatures(texts, size).select(F.col("doc_id").alias("__join_text"), F.col("n_shingles").alias("__join_n"), F.col("sid").alias("__join_sid")), "join-own")
+    many = many.join(own, "__join_text")
+    first = found.filter("class_id IS NOT NULL AND doc_id <=> component_id").groupBy("label").agg(F.min("class_id").alias("__join_sid"), F.first("component_id").alias("__join_first"))
+    first = many.join(stage(spark, first.drop("label"), "join-first"), "__join_sid").filter("doc_id <=> __join_first")
+    first = first.groupBy("__join_sid").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "text").alias("__join_row")).select("__join_row.*")
+    return once.unionByName(many.filter("__join_n = 0").select(*docs.columns)).unionByName(first)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,18 @@ def test_join_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_join_keeps_rows_of_repeated_and_null_ids_by_their_text(spark):
+    draw = random.Random(21)
+    a, b, c, d, e = (prose(draw, 40) for _ in range(5))
+    # 7 repeats: one text links to 1, the other to nothing. 8 repeats in one component. Rows without an id link to 1 and to each other.
+    rows = [(1, a), (7, a + " more"), (7, b), (7, b), (8, c), (8, c + " more"), (None, a), (None, d), (None, d + " more"), (None, d), (9, e), (None, None), (8, ""), (None, "")]
+    kept = jaccard.deduplicated(spark, docs(spark, rows))
+    assert kept.columns == [c.split()[0] for c in DOC.split(", ")]
+    got = sorted((str(r["doc_id"]), (r["text"] or "")[:60]) for r in kept.collect())
+    assert got == sorted((str(i), t[:60]) for i, t in [(1, a), (7, b), (8, c), (None, d), (9, e), (None, ""), (8, ""), (None, "")])
+    assert jaccard.deduplicated(spark, docs(spark, [])).count() == 0
+
+
 # Mixing
 
 
