@@ -20,6 +20,8 @@ SYMBOLS[48:58] = SYMBOLS[65:91] = SYMBOLS[97:123] = SYMBOLS[128:] = False
 #: Lower-cases A-Z alone; one more than the byte, so that no word hashes like its zero-padded form.
 LOWER = (np.arange(256) + 1).astype(U64)
 LOWER[65:91] += U64(32)
+#: Keeps case.
+EXACT = (np.arange(256) + 1).astype(U64)
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -84,11 +86,11 @@ def words(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray = SPACES) ->
     return begin, end, counts
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased, by differences of a running polynomial."""
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, letters: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of each word, by default with A-Z lower-cased, by differences of a running polynomial."""
     power, inverse = powers(data.size + 1)
     total = np.zeros(data.size + 1, U64)
-    np.cumsum(LOWER[data] * power[: data.size], out=total[1:])
+    np.cumsum(letters[data] * power[: data.size], out=total[1:])
     return mix((total[end] - total[begin]) * inverse[begin])
 
 
