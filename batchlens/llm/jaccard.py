@@ -3,21 +3,22 @@
 A document's set is its distinct shingles of `size` words (kernels.shingle_sets); two link when their Jaccard
 similarity reaches `percent` / 100. Equal sets form one class, and classes are joined instead of documents.
 
-1. Every set is cut by shingle hash into parts; a part counts the documents (classes) of each of its shingles, so the
-   counts cover all documents. Shingles of one class can join nothing and go no further than their number.
+1. Every set is cut by shingle hash into parts of bounded size (`PART` bytes on average, each a task of its own); a part
+   counts the documents (classes) of each of its shingles, so the counts cover all documents. Shingles of one class can
+   join nothing and go no further than their number.
 2. A class orders its shingles rarest first. If two sets link, their prefixes of n - ceil(t * n) + 1 shingles share
    one, so only prefix shingles that another class has become postings.
 3. Candidates come from equal postings, pass the length and positional filters, and each pair once the suffix filter
    and the exact check. In turns, each posting list first only proposes links to hubs (one of every `HUB` members), which is
-   linear in the list. Their links give components. Then all pairs of a list whose ends are still in different
-   components are proposed; pairs inside a component could change nothing. Nothing is capped, and lists inside one
-   component are not expanded. Long lists are salted over tasks.
-4. Components are found by repeated minima over links and labels, in tables.
+   linear in the list. Their links give components. When turns join no more, all pairs of a list whose ends are still in
+   different components are proposed; pairs inside a component could change nothing. Nothing is capped, and lists inside
+   one component are not expanded. Long lists are salted over tasks.
+4. Components are found by large and small stars over tables of links.
 
 Nulls and odd input: a document with null, empty or blank text has an empty set, links with nothing and is its own
 component; null ids are allowed (a component's id is the least id that is not null). Rows with equal texts are linked.
 Very long texts are taken whole. An empty table gives an empty result. Extra columns are ignored by `components`.
-Sets are held as 64-bit hashes, and shared shingles as 40 bits in one of the parts.
+Shingles and sets are held as 64-bit hashes throughout, the exact check included.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from batchlens.llm.kernels import U64, mix, shingle_sets, slices
 SIZE, PERCENT = 5, 75
 #: Members of a posting list for each hub, and of a salted share of a long list.
 HUB, SHARE = 512, 2048
-#: The most turns of hubs, and the most links that one task unites (16 bytes each).
-TURNS, SMALL = 1, 1_000_000
+#: Bytes of shingles of a part.
+PART = 32 << 20
 
 
 def _signature(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -60,7 +61,7 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sid long")
 
 
-PARTED = "part int, sids binary, sizes binary, counts binary, low binary, high binary"
+PARTED = "part int, sids binary, sizes binary, counts binary, values binary"
 
 
 def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBa
 
 
 def _parted(docs: DataFrame, parts: int, size: int) -> DataFrame:
-    """Shingles of all documents by part: for each part and slice of rows, the classes, their set sizes, how many shingles each has here, and their 40 bits."""
+    """Shingles of all documents by part: for each part and slice of rows, the classes, their set sizes, how many shingles each has here, and the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -110,13 +111,12 @@ def _parted(docs: DataFrame, parts: int, size: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 values, owner, part = values[order], owner[order], part[order]
                 edge = np.searchsorted(part, np.arange(parts + 1))
-                low, high = (values & U64(0xFFFFFFFF)).astype(np.uint32), ((values >> U64(32)) & U64(0xFF)).astype(np.uint8)
-                rows: list[list] = [[] for _ in range(6)]
+                rows: list[list] = [[] for _ in range(5)]
                 for p in np.flatnonzero(np.diff(edge)):
                     a, b = edge[p], edge[p + 1]
                     new, lengths = _runs(owner[a:b])
                     own = owner[a:b][new]
-                    for column, value in zip(rows, (int(p), sids[own].tobytes(), counts[own].astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes(), low[a:b].tobytes(), high[a:b].tobytes()), strict=True):
+                    for column, value in zip(rows, (int(p), sids[own].tobytes(), counts[own].astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes(), values[a:b].tobytes()), strict=True):
                         column.append(value)
                 yield _blobs(PARTED, rows)
 
@@ -131,7 +131,7 @@ def _shared(parted: DataFrame, buckets: int) -> DataFrame:
 
     def finish(part: int, rows: list[list]) -> Iterator[pa.RecordBatch]:
         sids, sizes, counts = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in ((0, np.int64), (1, np.uint32), (2, np.uint32)))
-        value = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]).astype(U64) | np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(U64) << U64(32)
+        value = np.concatenate([np.frombuffer(r[3], U64) for r in rows])
         # A class that several slices sent is kept once.
         _, first = np.unique(sids, return_index=True)
         once = np.zeros(len(sids), bool)
@@ -143,7 +143,7 @@ def _shared(parted: DataFrame, buckets: int) -> DataFrame:
         df = np.empty(value.size, np.int64)
         df[order] = np.repeat(runs, runs)
         common = df > 1
-        value, owner, df = value[common] | U64(part) << U64(40), owner[common], np.minimum(df[common], 65535).astype(np.uint16)
+        value, owner, df = value[common], owner[common], np.minimum(df[common], 65535).astype(np.uint16)
         bucket = (sids[owner] % buckets).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         value, owner, df, bucket = value[order], owner[order], df[order], bucket[order]
@@ -243,52 +243,28 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of all links of one task, by repeated minima over arrays."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    a, b = (np.concatenate([x.column(c).to_numpy() for x in batches]) for c in ("a", "b"))
-    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(names))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["sid", "label"])
-
-
-def connected(spark: SparkSession, links: DataFrame, small: int = SMALL) -> DataFrame:
+def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
     """sid and label (the least sid reachable) of every end of links (a, b).
 
-    Up to `small` links are united in one task on an executor; more by minima over neighbours and label jumps in tables.
+    Large stars move a node's larger neighbours to the least of its neighbourhood, small stars its smaller ones and
+    itself, in turn, until the links are stars around the least sid. The least neighbours are written before they are
+    joined, so that the join of a node with very many links can be split.
     """
-    links = stage(spark, links.select("a", "b").distinct(), "join-links")
-    if links.count() <= small:
-        return stage(spark, links.coalesce(1).mapInArrow(_united, "sid long, label long"), "join-labels")
-    both = stage(spark, links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "join-both")
-    labels = stage(spark, both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "join-labels")
+    edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, before = stage(spark, edges, "join-links"), None
     while True:
-        near = both.join(labels.select(F.col("sid").alias("b"), "label"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "sid", "left").select("sid", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # Jump to the label of one's label, and pull a label's own label down to the least that its members found.
-        pulled = step.groupBy(F.col("old").alias("sid")).agg(F.min("label").alias("pulled"))
-        step = step.join(pulled, "sid", "left").select("sid", "old", F.least("label", F.coalesce("pulled", "label")).alias("label"))
-        step = stage(spark, step, "join-step")
-        jump = step.select(F.col("sid").alias("label"), F.col("label").alias("jump"))
-        step = stage(spark, step.join(jump, "label", "left").select("sid", "old", F.coalesce("jump", "label").alias("label")), "join-labels")
-        changed = step.filter("old <> label").limit(1).count()
-        labels = step.select("sid", "label")
-        if not changed:
-            return labels
+        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if state == before:
+            return stage(spark, edges.select(F.col("b").alias("sid"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("sid"), F.col("a").alias("label"))).distinct(), "join-labels")
+        # Of each smaller end, the least of itself and its neighbours.
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+        near = stage(spark, near.select("a", F.least("a", "b").alias("to")), "join-least")
+        large = stage(spark, edges.join(near, "a").select(F.col("to").alias("a"), "b").distinct(), "join-large")
+        least = stage(spark, large.groupBy("b").agg(F.min("a").alias("to")), "join-small")
+        small = large.join(least, "b").filter("a <> to").select(F.col("to").alias("a"), F.col("a").alias("b"))
+        after = stage(spark, small.unionByName(least.select(F.col("to").alias("a"), "b")).distinct(), "join-links")
+        discard(spark, edges, near, large, least)
+        edges, before = after, state
 
 
 def _named(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -298,7 +274,7 @@ def _named(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def _live(named: DataFrame) -> DataFrame:
+def _live(spark: SparkSession, named: DataFrame) -> DataFrame:
     """Postings of lists that more than one component has and that can propose a pair: with members, main (the largest component) and main_size.
 
     The smaller set of a pair has its first common shingle within what an equally large partner leaves it, so a list
@@ -306,8 +282,9 @@ def _live(named: DataFrame) -> DataFrame:
     """
     parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"), F.max("early").alias("early"))
     lists = parts.groupBy("token").agg(F.sum("size").alias("members"), F.max(F.struct("size", "label")).alias("m"), F.count(F.lit(1)).alias("components"), F.max("early").alias("any_early"))
-    lists = lists.filter("components > 1 AND any_early").select("token", "members", F.col("m.label").alias("main"), F.col("m.size").alias("main_size"))
-    return named.join(lists, "token")
+    # Written, so that the join of a very long list can be split.
+    lists = stage(spark, lists.filter("components > 1 AND any_early").select("token", "members", F.col("m.label").alias("main"), F.col("m.size").alias("main_size")), "join-lists")
+    return stage(spark, named.join(lists, "token"), "join-live")
 
 
 def _hub_pairs(live: DataFrame, percent: int, turn: int = 0) -> DataFrame:
@@ -340,26 +317,24 @@ def _cross_pairs(live: DataFrame, percent: int) -> DataFrame:
 def linked(spark: SparkSession, postings: DataFrame, verify, percent: int = PERCENT) -> DataFrame:
     """Components (sid, label) of classes whose posting lists (token, sid, n, central, pos) propose pairs that verify (pairs -> links) confirms.
 
-    Hub turns go on while they join components and far more pairs than postings would be left to compare; then all
-    pairs that are left between components are compared.
+    Hub turns go on while far more pairs than postings would be left to compare and each turn takes away a good part of
+    them; then all pairs that are left between components are compared.
     """
     early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
-    live, labels, found, pairs = postings.withColumn("early", early), None, None, None
+    live, labels, found, pairs, turn = postings.withColumn("early", early), None, None, None, 0
     columns = live.columns
-    for turn in range(TURNS + 1):
-        old, live = live, stage(spark, _live(_named(live.select(columns), labels)), "join-live")
+    while True:
+        old, live = live, _live(spark, _named(live.select(columns), labels))
         if turn:
             discard(spark, old)
         rows, left = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("label") != F.col("main"), F.col("members"))), F.lit(0))).first()
         before, pairs = pairs, left
-        last = turn > 0 and (turn == TURNS or pairs <= 2 * rows or pairs > 0.8 * before)
+        last = pairs <= 2 * rows or before is not None and pairs > 0.8 * before
         links = stage(spark, verify(_cross_pairs(live, percent) if last else _hub_pairs(live, percent, turn)), "join-found")
-        if links.limit(1).count():
-            found = links if found is None else found.unionByName(links)
-            labels = connected(spark, found)
-        elif labels is None:
-            labels = spark.createDataFrame([], "sid long, label long")
-        if last or not rows:
+        found = links if found is None else found.unionByName(links)
+        labels = connected(spark, found)
+        turn += 1
+        if last:
             break
     discard(spark, live)
     return labels
@@ -369,9 +344,10 @@ def components(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links) and class_id (equal sets); with `named`, also the component's label, a class of it."""
     signed = stage(spark, signatures(docs, size), "join-signed")
     classes = stage(spark, signed.filter("n_shingles > 0").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least")), "join-classes")
-    parts = max(partitions(spark), 1)
-    parted = _parted(docs, parts, size).repartition(parts, "part").sortWithinPartitions("part")
-    shared = _shared(parted, parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    shingles = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = max(partitions(spark), -(-8 * shingles // PART), 1)
+    parted = _parted(docs, parts, size).repartitionById(parts, "part").sortWithinPartitions("part")
+    shared = _shared(parted, parts).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     members = stage(spark, _members(shared, percent), "join-members")
     postings = stage(spark, _postings(members, percent), "join-postings")
     labels = linked(spark, postings, lambda pairs: _verified(pairs, members, percent), percent)
@@ -410,7 +386,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, size: int = SIZE, percent
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(spark, table(spark, sf_dir, "documents"))
+    return components(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP9_SQL = r"""

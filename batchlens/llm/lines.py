@@ -19,8 +19,8 @@ Extra columns pass through `cleaned`; working columns have names starting with `
 Lines are parsed once, a batch of texts at a time, into hashes (64 bits; texts by 96 bits and their number of lines).
 Only lines whose leaf several texts reach go on, and of those one example of each is spelled out. Counts are aggregated
 before they are shuffled, and a template with one line that enough texts have is known to recur without joining its
-texts. Joins of tables that grow with the corpus are sort-merge joins at every size, which the engine splits where a key
-is hot.
+texts. Joins of tables that grow with the corpus are sort-merge joins at every size. Both sides are written before, as
+the engine splits the partition of a hot key only where a join reads nothing but exchanges.
 """
 
 from __future__ import annotations
@@ -94,11 +94,13 @@ def templates(spark: SparkSession, docs: DataFrame, near: DataFrame, min_docs: i
     """Lines (leaf, line) whose template recurs over `min_docs` texts, with their template."""
     of_text = near.groupBy("leaf", "line", "text").agg(F.first("no").alias("no"))
     leaves = near.select("leaf", "text").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("in_texts")).filter(F.col("in_texts") >= min_docs).select("leaf")
+    leaves = stage(spark, leaves, "line-leaves")
     examples = of_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.first("text").alias("text"), F.first("no").alias("no"))
     examples = stage(spark, examples.join(leaves.hint("merge"), "leaf", "left_semi"), "line-examples")
     lines = stage(spark, spelled(docs, examples), "line-spelled")
     fields = lines.select("leaf", "line", "texts", F.size("words").alias("n"), F.posexplode("words").alias("place", "word")).filter(F.col("word") != VARIABLE)
     steady = fields.groupBy("leaf", "place", "word").agg(F.sum("texts").alias("in_texts")).filter(F.col("in_texts") >= min_docs).select("leaf", "place", "word")
+    steady = stage(spark, steady, "line-steady")
     # A template is its constant words at their places, whatever order they come in.
     fixed = fields.join(steady.hint("merge"), ["leaf", "place", "word"]).withColumn("at", F.xxhash64("place", "word"))
     fixed = fixed.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("fixed"), F.first("n").alias("n"), F.first("texts").alias("texts"), F.bit_xor("at").alias("x"), F.bit_xor(F.xxhash64("at")).alias("y"))
@@ -111,7 +113,7 @@ def templates(spark: SparkSession, docs: DataFrame, near: DataFrame, min_docs: i
     several = of_text.join(rest.select("leaf", "line", "template").hint("merge"), ["leaf", "line"]).select("template", "text").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("in_texts"))
     recurs = sure.unionByName(several.filter(F.col("in_texts") >= min_docs).select("template"))
     out = stage(spark, fixed.join(recurs.hint("merge"), "template", "left_semi").select("leaf", "line", "template"), "line-recurring")
-    discard(spark, examples, lines, fixed)
+    discard(spark, leaves, examples, lines, steady, fixed)
     return out
 
 
@@ -133,6 +135,7 @@ def dropped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, cons
     lines = stage(spark, parsed(docs), "line-parsed")
     # Leaves that one text alone reaches go first; what is left is a small part of most corpora.
     shared = lines.groupBy("leaf").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("leaf")
+    shared = stage(spark, shared, "line-shared")
     near = stage(spark, lines.join(shared.hint("merge"), "leaf", "left_semi"), "line-near")
     recurring = templates(spark, docs, near, min_docs, constant)
     gone = near.join(recurring.hint("merge"), ["leaf", "line"]).groupBy("text", "more", "no").agg(F.first("words").alias("words"), F.first("total").alias("total"), F.first("template").alias("template"))
@@ -145,7 +148,7 @@ def dropped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, cons
     stays = held.filter("class IS NOT NULL").join(still.hint("merge"), "template", "left_anti").select("template", "text")
     left = gone.join(stays.hint("merge"), ["template", "text"], "left_anti")
     out = stage(spark, left.groupBy("text", "more").agg(F.sort_array(F.collect_list("no")).alias("drop")), "line-dropped")
-    discard(spark, lines, near, recurring, gone, copies, held)
+    discard(spark, lines, shared, near, recurring, gone, copies, held)
     return out
 
 

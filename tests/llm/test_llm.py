@@ -725,13 +725,14 @@ def test_pipeline_stages(spark):
         before = after
 
 
-@pytest.mark.parametrize("small", [0, 1_000_000])
-def test_components_of_links(spark, small):
+def test_components_of_links(spark):
     draw = random.Random(18)
     links = [(draw.randint(0, 120), draw.randint(0, 120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)]
     label = {x: x for pair in links for x in pair}
     for _ in range(300):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    got = jaccard.connected(spark, spark.createDataFrame(links, "a long, b long"), small)
+    label = {x: y for x, y in label.items() if any(x in pair and pair[0] != pair[1] for pair in links)}
+    links = [(a, b) for a, b in links if a != b]
+    got = jaccard.connected(spark, spark.createDataFrame(links, "a long, b long"))
     assert {r["sid"]: r["label"] for r in got.collect()} == label
