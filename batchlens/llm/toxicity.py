@@ -29,6 +29,8 @@ BITS = 20
 SAMPLE, EPOCHS = 16_000, 5
 #: Learning rate, its smoothing, and the L1 and L2 terms.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
+#: Bytes of text whose features are held at once.
+SLICE = 1 << 20
 #: Distances of the words of a pair: 1 is a bigram, more are skip-grams.
 GAPS = (1, 2, 3)
 
@@ -39,15 +41,15 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     begin, end, counts = words(data, starts, SYMBOLS)
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     if not begin.size:
-        return np.zeros(0, np.int64), owner
+        return np.zeros(0, np.int32), owner
     hashed = word_hashes(data, begin, end)
-    places, owners = [hashed], [owner]
+    places, owners = [(hashed >> U64(64 - bits)).astype(np.int32)], [owner]
     for gap in GAPS:
         if hashed.size > gap:
             inside = owner[:-gap] == owner[gap:]
-            places.append(mix((hashed[:-gap] * U64(ROOT) + hashed[gap:] + U64(gap))[inside]))
+            places.append((mix((hashed[:-gap] * U64(ROOT) + hashed[gap:] + U64(gap))[inside]) >> U64(64 - bits)).astype(np.int32))
             owners.append(owner[:-gap][inside])
-    return (np.concatenate(places) >> U64(64 - bits)).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(places), np.concatenate(owners)
 
 
 def ftrl(documents: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -77,7 +79,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 place, owner = features(batch.column("text"))
                 pairs = np.unique(owner.astype(np.int64) << BITS | place)
                 edge = np.searchsorted(pairs >> BITS, np.arange(batch.num_rows + 1))
@@ -110,7 +112,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights = shared.value, None
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 total = np.zeros(batch.num_rows)
                 if model is not None:
                     if weights is None:
