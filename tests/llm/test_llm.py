@@ -208,6 +208,7 @@ def test_packing_over_blocks(spark):
     fill = {}
     for r in got:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert sum(r["crossovers"] for r in got) > 0
     assert max(fill.values()) <= 100 and len(fill) <= 1.04 * math.ceil(sum(fill.values()) / 100)
 
 
@@ -216,9 +217,30 @@ def test_packing_genetics():
     lengths = [draw.randint(20, 70) for _ in range(80)]
     start = packing.best_fit([], sorted(range(80), key=lambda i: -lengths[i]), lengths, 100)
     other = packing.best_fit([], list(range(80)), lengths, 100)
-    for child in (packing.crossover(start, other, lengths, 100, draw), packing.mutate(start, lengths, 100, draw), packing.evolve(lengths, 100, 1)):
+    for child in (packing.crossover(start, other, lengths, 100, draw), packing.mutate(start, lengths, 100, draw), packing.evolve(lengths, 100, 1)[0]):
         assert sorted(i for items in child for i in items) == list(range(80)) and all(sum(lengths[i] for i in items) <= 100 for items in child)
-    assert len(packing.evolve(lengths, 100, 1, [start, other])) <= len(start)
+    assert len(packing.evolve(lengths, 100, 1, [start, other])[0]) <= len(start)
+
+
+def test_packing_crossover_beats_best_fit():
+    """Triplets that fill their bins exactly, which best fit decreasing does not put together again."""
+    draw, better, lived = random.Random(23), 0, 0
+    for seed in range(8):
+        lengths = []
+        for _ in range(20):
+            a, b = draw.randint(260, 400), draw.randint(260, 330)
+            lengths += [a, b, 1000 - a - b]
+        plain = packing.best_fit([], sorted(range(60), key=lambda i: (-lengths[i], i)), lengths, 1000)
+        found, crossed = packing.evolve(lengths, 1000, seed, generations=40)
+        assert packing.score(found, lengths, 1000) <= packing.score(plain, lengths, 1000) and sorted(i for b in found for i in b) == list(range(60))
+        better, lived = better + (len(found) < len(plain)), lived + crossed
+    assert better >= 4 and lived > 8
+
+
+def test_packing_of_items_that_share_no_bin(spark):
+    items = spark.createDataFrame([(i, 60 + i % 3) for i in range(500)], "uid long, length long")
+    got = packing.pack(spark, items, capacity=100, block=60).collect()
+    assert len(got) == 500 == len({r["sequence_id"] for r in got}) and all(r["offset"] == 0 for r in got) and max(r["level"] for r in got) > 1
 
 
 # Line dedup
