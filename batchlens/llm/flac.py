@@ -5,7 +5,8 @@ a constant, plain samples, fixed linear predictors of order 0 to 2 and a quantis
 Rice-coded residuals, and writes the header's CRC-8 and the frame's CRC-16. The decoder finds frames by their headers
 (sync code, CRC-8, running frame number), checks every CRC-16, and decodes Rice residuals (any partition order) and
 linear predictors (fixed or quantised, any order) one sample of all frames at a time; last it checks the stream's MD5.
-`pcm_blocks` writes decoded blocks with the sample offset at which each starts, so that a reader can seek.
+`stored` writes the streams as a table in the shared folder, and `decoded` reads them back and writes their samples as
+PCM blocks with the sample offset at which each starts, so that a reader can seek to any of them (`seek`).
 
 Nulls and odd input: a null text is empty, and an empty one is stored as one block of spaces; null and repeated ids are
 allowed. Very long texts are coded whole, on their own. Bytes that do not decode raise ValueError. An empty table gives
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import table
+from batchlens.llm.common import discard, stage, table
 from batchlens.llm.kernels import slices, text_bytes
 
 BLOCK, RATE, PAD = 192, 8000, 32
@@ -350,17 +351,37 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, blocks: int = 64) -> DataFrame:
-    """Decoded samples of media (doc_id, media) in runs of `blocks` FLAC blocks: doc_id, sample_offset (where a run starts) and pcm (unsigned bytes)."""
+BLOCKS = "array<struct<sample_offset: bigint, pcm: binary>>"
+
+
+def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Every text as a FLAC stream in a table of the shared folder: doc_id, n_bytes and media."""
+    return stage(spark, encoded(docs), "flac-media", "none")
+
+
+def decoded(spark: SparkSession, media: DataFrame, blocks: int = 64) -> DataFrame:
+    """Samples of stored media in runs of `blocks` FLAC blocks, as a table of the shared folder: doc_id, n_bytes, media_bytes, media_sha256 and blocks, an array of sample_offset (where a run starts) and pcm (unsigned bytes). Rows without media are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, streams = batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()
-            for i in range(0, len(ids), 64):
-                rows = [(doc_id, at, pcm[at : at + blocks * BLOCK].tobytes()) for doc_id, pcm in zip(ids[i : i + 64], decode(streams[i : i + 64]), strict=True) for at in range(0, len(pcm), blocks * BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "sample_offset", "pcm"])
+            for part in slices(batch, "media", 1 << 20):
+                streams = part.column("media").to_pylist()
+                cut = [[{"sample_offset": at, "pcm": pcm[at : at + blocks * BLOCK].tobytes()} for at in range(0, len(pcm), blocks * BLOCK)] for pcm in decode(streams)]
+                columns = [part.column("doc_id"), part.column("n_bytes"), pa.array([len(m) for m in streams], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in streams], pa.string())]
+                kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, kind)], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+    out = media.filter("media IS NOT NULL").select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks {BLOCKS}")
+    return stage(spark, out, "flac-pcm", "zstd")
+
 
-    return media.filter("media IS NOT NULL").select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+def seek(pcm: DataFrame, start: int, length: int) -> DataFrame:
+    """doc_id and samples start to start + length (as far as there are any) of decoded media; only the blocks that hold them are put together."""
+    size = lambda b: b["sample_offset"] + F.octet_length(b["pcm"])
+    held = F.filter("blocks", lambda b: (size(b) > start) & (b["sample_offset"] < start + length))
+    joined = F.aggregate(held, F.lit(b""), lambda upto, b: F.concat(upto, b["pcm"]))
+    first = F.coalesce(F.get(held, F.lit(0))["sample_offset"], F.lit(0))
+    return pcm.select("doc_id", F.substring(joined, (F.lit(start + 1) - first).cast("int"), F.lit(length)).alias("samples"))
 
 
 def feature(pcm: np.ndarray) -> str:
@@ -374,23 +395,26 @@ def feature(pcm: np.ndarray) -> str:
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as FLAC, read the stored bytes back and describe both."""
+def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Store every text as FLAC, read the stored bytes back, write their PCM blocks, and describe what these hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                raw, size = payloads(batch.column("text"))
-                media = encode(raw)
-                back = decode(media)
-                columns = [
-                    batch.column("doc_id"), pa.array(size), pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p.data).hexdigest() for p in back], pa.string()),
-                    pa.array([zlib.crc32(p[-16:].tobytes()) for p in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array([feature(p) for p in back], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGEST.split(", ")])
-
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+        for batch in batches:
+            blocks = batch.column("blocks")
+            data, starts = text_bytes(blocks.values.field("pcm"))
+            edge = starts[blocks.offsets.to_numpy()]
+            back = [data[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+            columns = [
+                batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
+                pa.array([zlib.crc32(p[-16:]) for p in back], pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array([feature(p) for p in back], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGEST.split(", ")])
+
+    media = stored(spark, docs)
+    pcm = decoded(spark, media)
+    discard(spark, media)
+    return pcm.mapInArrow(run, DIGEST)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(spark, table(spark, sf_dir, "documents"))

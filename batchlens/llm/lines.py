@@ -96,7 +96,8 @@ def templates(spark: SparkSession, docs: DataFrame, near: DataFrame, min_docs: i
     leaves = near.select("leaf", "text").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("in_texts")).filter(F.col("in_texts") >= min_docs).select("leaf")
     leaves = stage(spark, leaves, "line-leaves")
     examples = of_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.first("text").alias("text"), F.first("no").alias("no"))
-    examples = stage(spark, examples.join(leaves.hint("merge"), "leaf", "left_semi"), "line-examples")
+    # An inner join: a semi-join would be pushed below the counts, which would then be taken leaf by leaf.
+    examples = stage(spark, examples.join(leaves.hint("merge"), "leaf"), "line-examples")
     lines = stage(spark, spelled(docs, examples), "line-spelled")
     fields = lines.select("leaf", "line", "texts", F.size("words").alias("n"), F.posexplode("words").alias("place", "word")).filter(F.col("word") != VARIABLE)
     steady = fields.groupBy("leaf", "place", "word").agg(F.sum("texts").alias("in_texts")).filter(F.col("in_texts") >= min_docs).select("leaf", "place", "word")

@@ -88,11 +88,16 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("label"), pa.array(blobs, pa.binary())], ["key", "doc_id", "label", "places"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        documents = []
+        marks, sizes, found = [], [], []
         for batch in batches:
-            documents += [(int(y), np.frombuffer(x, np.int32)) for y, x in zip(batch.column("label").to_pylist(), batch.column("places").to_pylist(), strict=True)]
-        if documents:
-            weights, bias = ftrl(documents)
+            data, starts = text_bytes(batch.column("places"))
+            marks += batch.column("label").to_pylist()
+            sizes.append(np.diff(starts) // 4)
+            found.append(data.copy().view(np.int32))
+        if marks:
+            # One array of all places: it is given back whole, where a list of them would leave the worker's memory in pieces.
+            edge, found = np.cumsum(np.concatenate(sizes)), np.concatenate(found)
+            weights, bias = ftrl(list(zip(marks, np.split(found, edge[:-1]), strict=True)))
             at = np.flatnonzero(weights)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(weights[at], bias))], ["place", "weight"])
 

@@ -490,18 +490,23 @@ def test_flac_partitions():
 
 
 def test_flac_query_and_blocks(spark):
-    got = flac.digests(docs(spark, ODD)).collect()
+    got = flac.digests(spark, docs(spark, ODD)).collect()
     want = []
     for doc_id, text in ODD:
         data = (text or "").encode()
         full = data.ljust(max(1, -(-len(data) // 192)) * 192)
         want.append((str(doc_id), len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
-    media = flac.encoded(docs(spark, [(6, "x" * 70_000), (8, "short")]))
-    blocks = flac.pcm_blocks(media, 10).orderBy("doc_id", "sample_offset").collect()
-    assert b"".join(r["pcm"] for r in blocks if r["doc_id"] == 6).rstrip() == b"x" * 70_000
-    assert [r["sample_offset"] for r in blocks if r["doc_id"] == 6] == list(range(0, 70_080, 1920))
-    assert flac.digests(docs(spark, [])).count() == 0
+    long = prose(random.Random(24), 9000)
+    media = flac.stored(spark, docs(spark, [(6, long), (8, "short")]))
+    assert {r["doc_id"]: flac.decode([r["media"]])[0].tobytes().rstrip() for r in media.collect()} == {6: long.encode(), 8: b"short"}
+    pcm = flac.decoded(spark, media, 10)
+    blocks = {r["doc_id"]: r["blocks"] for r in pcm.collect()}
+    assert b"".join(b["pcm"] for b in blocks[6]).rstrip() == long.encode()
+    assert [b["sample_offset"] for b in blocks[6]] == list(range(0, len(long), 1920))
+    for start, n in ((0, 100), (1915, 20), (5000, 4000), (len(long) + 5000, 10)):
+        assert {r["doc_id"]: bytes(r["samples"]).rstrip() for r in flac.seek(pcm, start, n).collect()} == {6: long.encode()[start : start + n].rstrip(), 8: b"short"[start : start + n]}
+    assert flac.digests(spark, docs(spark, [])).count() == 0
 
 
 # WARC
