@@ -90,9 +90,12 @@ def matches(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD,
     rest = F.col("tnorm") * F.col("tnorm") - F.coalesce(F.sum(F.col("tw") * F.col("tw")).over(heavy), F.lit(0.0))
     anchors = terms.withColumn("rest", rest).filter(F.col("rest") >= F.lit(threshold * threshold * (1 - 1e-9)) * F.col("tnorm") * F.col("tnorm")).select("word").distinct()
     anchors = F.array(*[F.lit(r["word"]) for r in anchors.orderBy("word").collect()])
-    lines = files.filter("text IS NOT NULL").select("key", "text", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("words", _split("line"))
+    # The words of a whole text are counted only for texts that have an anchor at all.
+    texts = files.filter("text IS NOT NULL").filter(F.arrays_overlap(_split("text"), anchors))
+    texts = texts.select("key", "text", F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")).alias("total"))
+    lines = texts.select("key", "total", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("words", _split("line"))
     lines = lines.filter(F.arrays_overlap("words", anchors)).withColumn("words", F.filter("words", lambda w: w != ""))
-    lines = lines.select("key", "line_no", "words", F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")).alias("total")).distinct()
+    lines = lines.select("key", "line_no", "words", "total").distinct()
     lines = stage(spark, lines, "scan-lines")
     tokens = lines.select("key", "line_no", F.size("words").alias("length"), "total", F.explode("words").alias("word")).groupBy("key", "line_no", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), F.first("total").alias("total"))
     tokens = tokens.join(words, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
@@ -129,17 +132,21 @@ def scan(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD, te
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: /source/lang/doc_id."""
+    """Documents as files of a tree, /source/lang/d<thousands>/d<hundreds>/name; one name in 16 is that of a licence file."""
     docs = table(spark, sf_dir, "documents")
-    return scan(spark, docs.select("doc_id", F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+    step = lambda by: F.concat(F.lit("d"), F.floor(F.col("doc_id") / by).cast("string"))
+    name = F.when(F.pmod("doc_id", F.lit(16)) == 5, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(spark, docs.select("doc_id", F.concat_ws("/", F.lit(""), "source", "lang", step(1000), step(100), name).alias("path"), "text"))
 
 
 _VALUES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 OP3_SQL = f"""
-WITH tpl(id, licence, txt) AS (VALUES {_VALUES}),
+WITH RECURSIVE tpl(id, licence, txt) AS (VALUES {_VALUES}),
 tw AS (SELECT id, licence, word, count(*) AS tf FROM (SELECT id, licence, unnest(regexp_split_to_array(lower(txt), '[^a-z0-9]+')) AS word FROM tpl) WHERE word <> '' GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents),
-f AS (SELECT doc_id, concat_ws('/', '', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', '', source, lang) AS dir, text FROM documents),
+f0 AS (SELECT doc_id, concat_ws('/', '', source, lang, 'd' || CAST(doc_id // 1000 AS VARCHAR), 'd' || CAST(doc_id // 100 AS VARCHAR)) AS dir,
+  CASE WHEN doc_id % 16 = 5 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name, text FROM documents),
+f AS (SELECT doc_id, dir || '/' || name AS path, dir, name, text FROM f0),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS word FROM f) WHERE word IN (SELECT word FROM tw) GROUP BY word),
 idf AS (SELECT word, ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word), n),
 t AS (SELECT id, licence, word, tf * idf AS tw, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS tnorm FROM tw JOIN idf USING (word)),
@@ -152,7 +159,9 @@ s AS (SELECT doc_id, no, licence, length, round(dot / (norm * tnorm), 6) AS scor
 b AS (SELECT doc_id, no, arg_min(licence, (-score, licence)) AS licence, max(score) AS score, any_value(length) AS length FROM s GROUP BY ALL),
 o AS (SELECT doc_id, arg_min(licence, (-score, licence)) AS licence, max(score) AS score, sum(length) AS covered FROM b GROUP BY ALL),
 tot AS (SELECT doc_id, sum(tf) AS total FROM w GROUP BY ALL),
-c AS (SELECT dir, arg_min(licence, (-score, licence)) AS inherited FROM o JOIN tot USING (doc_id) JOIN f USING (doc_id) WHERE covered >= {FILE_SHARE} * total GROUP BY ALL)
-SELECT f.doc_id, f.path, coalesce(licence, inherited) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN licence IS NULL AND inherited IS NOT NULL THEN c.dir END AS directory
-FROM f LEFT JOIN o USING (doc_id) LEFT JOIN c USING (dir)
+c AS (SELECT dir, arg_min(licence, (-score, licence)) AS inherited FROM o JOIN tot USING (doc_id) JOIN f USING (doc_id) WHERE covered >= {FILE_SHARE} * total OR regexp_matches(name, '{LICENCE_FILE}') GROUP BY ALL),
+up AS (SELECT DISTINCT dir, dir AS anc FROM f UNION SELECT dir, regexp_replace(anc, '/[^/]*$', '') FROM up WHERE anc <> ''),
+near AS (SELECT up.dir, arg_max(inherited, length(anc)) AS inherited, max(anc) AS covering FROM up JOIN c ON c.dir = up.anc GROUP BY up.dir)
+SELECT f.doc_id, f.path, coalesce(licence, inherited) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN licence IS NULL AND inherited IS NOT NULL THEN covering END AS directory
+FROM f LEFT JOIN o USING (doc_id) LEFT JOIN near USING (dir)
 """

@@ -619,6 +619,9 @@ def test_licences_equal_brute_force(spark):
     files = spark.createDataFrame([(i, p, t, 1.0) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string, score double")
     got = licences.scan(spark, files).collect()
     assert sorted((r["path"], r["licence"], r["score"], r["origin"], r["directory"]) for r in got) == brute_scan(rows)
+    long = [("/long/a", prose(draw, 40_000) + "\n" + licences.TEMPLATES[1][1]), ("/long/LICENSE", licences.TEMPLATES[13][1]), ("/long/b", "word " * 50_000)]
+    got = licences.scan(spark, spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(long)], "doc_id long, path string, text string")).collect()
+    assert sorted((r["path"], r["licence"], r["score"], r["origin"], r["directory"]) for r in got) == brute_scan(long)
     odd = spark.createDataFrame([(None, None, licences.TEMPLATES[0][1]), (1, None, None), (1, None, None)], "doc_id long, path string, text string")
     assert sorted(str(r["licence"]) for r in licences.scan(spark, odd).collect()) == ["AGPL-3.0", "None", "None"]
     assert licences.scan(spark, odd.limit(0)).count() == 0
