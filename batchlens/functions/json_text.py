@@ -80,6 +80,79 @@ def raw_json(text: Column, *names: str) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+def _pairs(twice: list):
+    """Builds objects and notes in `twice` whether a key came more than once in any."""
+
+    def build(pairs: list) -> dict:
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            twice.append(True)
+        return found
+
+    return build
+
+
+def object_members(text: str | None) -> tuple[str | None, dict | None, bool]:
+    """Of a text: why it is not strict JSON (or None), its members as (value, text as written) if it is an object, and whether keys repeat. The last of equal keys counts."""
+    if text is None:
+        return "no text", None, False
+    found, twice = {}, []
+    decoder = json.JSONDecoder(parse_constant=_refuse, parse_float=_finite, object_pairs_hook=_pairs(twice))
+    try:
+        at = _SPACE.match(text, 0).end()
+        if text[at] != "{":
+            return strict_error(text), None, False
+        at = _SPACE.match(text, at + 1).end()
+        while text[at] != "}":
+            key, at = json.decoder.scanstring(text, at + 1) if text[at] == '"' else (None, len(text))
+            at = _SPACE.match(text, at).end()
+            if text[at] != ":":
+                return strict_error(text), None, False
+            at = _SPACE.match(text, at + 1).end()
+            value, end = decoder.raw_decode(text, at)
+            if key in found:
+                twice.append(True)
+            found[key] = value, text[at:end]
+            at = _SPACE.match(text, end).end()
+            if text[at] == ",":
+                at = _SPACE.match(text, at + 1).end()
+                if text[at] != '"':
+                    return strict_error(text), None, False
+            elif text[at] != "}":
+                return strict_error(text), None, False
+        if _SPACE.match(text, at + 1).end() < len(text):
+            return strict_error(text), None, False
+    except (ValueError, IndexError, RecursionError):
+        return strict_error(text) or "not JSON", None, False
+    # Lone surrogates can only come from escapes.
+    return (strict_error(text) if "\\u" in text else None), found, bool(twice)
+
+
+MEMBER = "struct<kind: string, text: string, raw: string>"
+_KINDS = {str: "string", dict: "object", list: "array", bool: "boolean", type(None): "null"}
+
+
+def line_members(text: Column, *names: str, raw: tuple[str, ...] = ()) -> Column:
+    """What a JSON line holds, parsed once: error (why it is not strict JSON), object, distinct (keys, at any depth), for each name its kind (null where absent), its text if it is a string and, for names in `raw`, its JSON text as written; keys lists the keys of the first of `raw` that is there, if it is an object."""
+
+    def run(lines: pd.Series) -> pd.DataFrame:
+        rows = []
+        for line in lines:
+            error, found, twice = object_members(line)
+            row = [error, found is not None, not twice]
+            for name in names:
+                value, written = (found or {}).get(name, (None, None))
+                row.append({"kind": None if written is None else _KINDS.get(type(value), "number"), "text": value if isinstance(value, str) else None, "raw": written if name in raw else None})
+            body = next((found[n][0] for n in raw if n in found), None) if found else None
+            row.append(list(body) if isinstance(body, dict) else None)
+            rows.append(row)
+        return pd.DataFrame(rows, columns=["error", "object", "distinct", *names, "keys"])
+
+    schema = ", ".join(["error string", "object boolean", "distinct boolean", *[f"`{n}` {MEMBER}" for n in names], "keys array<string>"])
+    # Not deterministic as to the planner, so that neither filters nor later columns make it run again.
+    return F.pandas_udf(run, schema).asNondeterministic()(text)
+
+
 def fnv1a(data: bytes) -> int:
     h = 0xCBF29CE484222325
     for b in data:
@@ -171,11 +244,11 @@ def response_problem(check: Column, kind: Column, body: Column) -> Column:
     """Why a response fails a check (any, non_empty, json), or null if it passes."""
     text = primary_text(kind, body)
     vector = F.when(is_kind(at(body, "$.data[0].embedding"), "ARRAY"), F.size(array_at(body, "$.data[0].embedding")))
-    embedding = F.when(vector.isNull(), "response has no embedding data").when(vector == 0, "empty embedding vector")
-    missing = F.when((kind == "messages") & text.isNull(), "response has no content text").when((kind != "messages") & at(body, "$.choices[0]").isNull(), "response has no choices").when(text.isNull(), "response choice has no text content")
-    empty = F.when(text.rlike(r"(?U)\A\s*\z"), "empty output content")
+    embedding = F.when(vector.isNull(), "no embedding in the response").when(vector == 0, "the embedding is empty")
+    missing = F.when((kind == "messages") & text.isNull(), "no text block in the response").when((kind != "messages") & at(body, "$.choices[0]").isNull(), "no choice in the response").when(text.isNull(), "the choice holds no text")
+    empty = F.when(text.rlike(r"(?U)\A\s*\z"), "the text is blank")
     # The text is parsed strictly only where the check asks for it.
-    broken = F.when(strict_json_error(F.when(check == "json", text)).isNotNull(), "output is not valid JSON")
+    broken = F.when(strict_json_error(F.when(check == "json", text)).isNotNull(), "the text is no JSON")
     plain = F.coalesce(missing, empty)
     return F.when(check == "any", F.lit(None).cast("string")).when(kind == "embeddings", embedding).when(check == "json", F.coalesce(plain, broken)).otherwise(plain)
 

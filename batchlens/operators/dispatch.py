@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -45,17 +48,32 @@ def assign(workers: DataFrame, n_items: int, base: int = 0, load_aware: bool = T
 
 
 def aimd(outcomes: DataFrame, ceiling: int, grow_after: int = 8) -> DataFrame:
-    """Per worker the in-flight limit after its outcomes (worker, seq, ok) in order: one more after a streak, half after a failure."""
-    start = F.struct(F.lit(ceiling).cast("long").alias("limit"), F.lit(0).cast("long").alias("streak"))
+    """Per worker the in-flight limit after its outcomes (worker, seq, ok) in order: one more after a streak, half after a failure.
 
-    def step(s: Column, e: Column) -> Column:
-        grows = (s["streak"] + 1 >= grow_after) & (s["limit"] < ceiling)
-        good = F.struct((s["limit"] + grows.cast("long")).alias("limit"), F.when(grows, F.lit(0).cast("long")).otherwise(s["streak"] + 1).alias("streak"))
-        bad = F.struct(F.greatest(F.floor(s["limit"] / 2), F.lit(1)).cast("long").alias("limit"), F.lit(0).cast("long").alias("streak"))
-        return F.when(e["ok"], good).otherwise(bad)
+    Outcomes are sorted by worker and order in the shuffle and streamed through with two numbers of state, so a busy
+    worker is no array in memory.
+    """
 
-    listed = F.array_sort(F.collect_list(F.struct("seq", "ok")))
-    return outcomes.groupBy("worker").agg(F.aggregate(listed, start, step).alias("s")).select("worker", F.col("s.limit").alias("limit"), F.col("s.streak").alias("streak"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, limit, streak, out, kind = None, ceiling, 0, [], pa.null()
+        for batch in batches:
+            kind = batch.schema.field("worker").type
+            for worker, ok in zip(batch.column("worker").to_pylist(), batch.column("ok").to_pylist(), strict=True):
+                if worker != now:
+                    out += [(now, limit, streak)] if now is not None else []
+                    now, limit, streak = worker, ceiling, 0
+                if not ok:
+                    limit, streak = max(limit // 2, 1), 0
+                elif streak + 1 >= grow_after and limit < ceiling:
+                    limit, streak = limit + 1, 0
+                else:
+                    streak += 1
+        out += [(now, limit, streak)] if now is not None else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((kind, pa.int64(), pa.int64()))], ["worker", "limit", "streak"])
+
+    dealt = outcomes.select("worker", "seq", "ok").filter("worker IS NOT NULL").repartition("worker").sortWithinPartitions("worker", "seq")
+    return dealt.mapInArrow(run, f"worker {dict(outcomes.dtypes)['worker']}, limit long, streak long")
 
 
 def cooldown_until(signals: DataFrame) -> DataFrame:

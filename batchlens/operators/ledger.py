@@ -164,7 +164,17 @@ def latest_checkpoint(shards: DataFrame) -> DataFrame:
     return shards.agg(F.max_by(F.struct("byte_end", "line_end"), "byte_end").alias("m")).select("m.*")
 
 
-def cumulative_states(events: DataFrame) -> DataFrame:
-    """Running number of lease events per id, in order."""
-    order = W.partitionBy("custom_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return events.withColumn("leases", F.count_if(F.col("kind") == "lease").over(order))
+def with_job(jobs: DataFrame, job: str, started_at: int, output: str | None = None, concurrency: int | None = None) -> DataFrame:
+    """jobs (job, started_at, output, concurrency) with one put in or brought up to date: a known job keeps its start, and what is not given keeps its value."""
+    row = jobs.sparkSession.createDataFrame([(job, started_at, output, concurrency)], "job string, started_at long, output string, concurrency long")
+    both = jobs.select(*row.columns, F.lit(0).alias("new")).unionByName(row.withColumn("new", F.lit(1)))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("new"))).alias(c)
+    return both.groupBy("job").agg(F.min_by("started_at", "new").alias("started_at"), latest("output"), latest("concurrency"))
+
+
+def status_line(report: DataFrame) -> DataFrame:
+    """A status report as one line for people: text."""
+    shown = F.array_join(F.transform(F.map_entries("failure_reasons"), lambda e: F.concat(e["key"], F.lit(" x"), e["value"].cast("string"))), ", ")
+    rate = F.when(F.col("success_rate").isNotNull(), F.concat(F.round(F.col("success_rate") * 100, 1).cast("string"), F.lit("%"))).otherwise("none ended")
+    parts = [F.concat(F.col(c).cast("string"), F.lit(f" {c}")) for c in ("pending", "leased", "done", "dead", "retried")]
+    return report.select(F.concat(F.concat_ws(" | ", *parts), F.lit(" | success "), rate, F.when(shown != "", F.concat(F.lit(" | "), shown)).otherwise("")).alias("text"))

@@ -58,7 +58,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ERRORS = ("HTTP 429 Too Many Requests", "HTTP 504 Gateway Timeout", "HTTP 400 (terminal): connection reset", "request error: operation timed out", "validation failed: empty output content")
+ERRORS = ("HTTP 429 Too Many Requests", "HTTP 504 Gateway Timeout", "HTTP 400 (terminal): connection reset", "request error: operation timed out", "validation failed: the text is blank")
 ERROR_LIST = "[" + ", ".join(f"'{e}'" for e in ERRORS) + "]"
 ST = f"""
 st AS (SELECT 'ord-' || o_orderkey AS custom_id, o_orderkey AS ordinal, CASE WHEN o_orderkey % 10 <= 5 THEN 'done' WHEN o_orderkey % 10 = 6 THEN 'dead_letter' WHEN o_orderkey % 10 <= 8 THEN 'leased' ELSE 'pending' END AS status,

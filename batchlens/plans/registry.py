@@ -187,10 +187,9 @@ def status_report(spark, d):
 
 
 @query(f"""WITH {I.ST}, c AS (SELECT {_COUNTS}, count(*) FILTER (status IN ('done', 'dead_letter') AND attempts > 1) AS retried FROM st), r AS (SELECT string_agg('batchlens_failures{{reason="' || r || '"}} ' || n || chr(10), '' ORDER BY r) AS f FROM (SELECT {I.CLASSIFY} AS r, count(*) AS n FROM (SELECT lower(error) AS e FROM st WHERE status = 'dead_letter') GROUP BY 1))
-SELECT '# HELP batchlens_items Items by state.' || chr(10) || '# TYPE batchlens_items gauge' || chr(10) || 'batchlens_items{{state="pending"}} ' || pending || chr(10) || 'batchlens_items{{state="leased"}} ' || leased || chr(10) || 'batchlens_items{{state="done"}} ' || done || chr(10) || 'batchlens_items{{state="dead"}} ' || dead || chr(10) || '# HELP batchlens_failures Dead letters by reason.' || chr(10) || '# TYPE batchlens_failures gauge' || chr(10) || f || '# HELP batchlens_retried Ended items that took more than one attempt.' || chr(10) || '# TYPE batchlens_retried gauge' || chr(10) || 'batchlens_retried ' || retried || chr(10) AS text FROM c, r""")
+SELECT '# HELP batchlens_items Items by state.' || chr(10) || '# TYPE batchlens_items gauge' || chr(10) || 'batchlens_items{{state="pending"}} ' || pending || chr(10) || 'batchlens_items{{state="leased"}} ' || leased || chr(10) || 'batchlens_items{{state="done"}} ' || done || chr(10) || 'batchlens_items{{state="dead"}} ' || dead || chr(10) || '# HELP batchlens_failures Dead letters by reason.' || chr(10) || '# TYPE batchlens_failures gauge' || chr(10) || f || '# HELP batchlens_retried Ended items that took more than one attempt.' || chr(10) || '# TYPE batchlens_retried gauge' || chr(10) || 'batchlens_retried ' || retried || chr(10) || '# HELP batchlens_success_rate Terminal success ratio.' || chr(10) || '# TYPE batchlens_success_rate gauge' || chr(10) || 'batchlens_success_rate ' || (done / (done + dead)) || chr(10) AS text FROM c, r""")
 def metrics_text(spark, d):
-    text = ledger.metrics_text(ledger.status_report(I.states(spark, d)))
-    return text.select(F.regexp_replace("text", r"# HELP batchlens_success_rate[^\n]*\n[^\n]*\n[^\n]*\n", "").alias("text"))
+    return ledger.metrics_text(ledger.status_report(I.states(spark, d)))
 
 
 @query(f"WITH {I.FAIL} SELECT reason, count(*) AS n FROM (SELECT {I.CLASSIFY} AS reason FROM (SELECT lower(error) AS e FROM fl)) GROUP BY reason ORDER BY n DESC, reason")
@@ -333,7 +332,7 @@ def token_usage_anthropic(spark, d):
     return I.read(spark, d, "documents").select("doc_id", J.usage_of(F.lit("messages"), J.parsed(usage)).alias("u")).select("doc_id", "u.*")
 
 
-@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'empty output content' WHEN 2 THEN 'response has no choices' WHEN 3 THEN 'response choice has no text content' WHEN 4 THEN NULL WHEN 5 THEN 'output is not valid JSON' WHEN 6 THEN 'empty embedding vector' ELSE 'response has no content text' END AS problem FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'the text is blank' WHEN 2 THEN 'no choice in the response' WHEN 3 THEN 'the choice holds no text' WHEN 4 THEN NULL WHEN 5 THEN 'the text is no JSON' WHEN 6 THEN 'the embedding is empty' ELSE 'no text block in the response' END AS problem FROM documents""")
 def response_check(spark, d):
     k = F.col("doc_id") % 8
     bodies = ('{"choices":[{"message":{"content":"fine"}}]}', '{"choices":[{"message":{"content":" \\n "}}]}', '{"choices":[]}', '{"choices":[{"message":{"content":5}}]}', '{"choices":[{"text":"{\\"a\\": 1}"}]}', '{"choices":[{"text":"```json {} ```"}]}', '{"data":[{"embedding":[]}]}', '{"content":[]}')
@@ -493,3 +492,89 @@ def object_job_id(spark, d):
 def replay_results(spark, d):
     lines = jsonl.parse(I.chats(spark, d))
     return workers.replay(lines.filter("error IS NULL").select("custom_id", "method", "url", "body"))
+
+
+_CRC = "WITH RECURSIVE k AS (SELECT DISTINCT conv_id, 'conv-' || conv_id AS custom_id FROM conversations), c AS (SELECT conv_id, custom_id, 0 AS i, 4294967295::BIGINT AS r FROM k UNION ALL SELECT conv_id, custom_id, i + 1, CASE WHEN (s & 1) = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END FROM (SELECT conv_id, custom_id, i, CASE WHEN i % 8 = 0 THEN xor(r, ascii(substr(custom_id, CAST(i // 8 + 1 AS INTEGER), 1))::BIGINT) ELSE r END AS s FROM c WHERE i < 8 * length(custom_id))), h AS (SELECT custom_id, xor(r, 4294967295) AS h FROM c WHERE i = 8 * length(custom_id))"
+
+
+@query(f"{_CRC} SELECT custom_id, CASE WHEN h % 17 = 0 THEN 'dead' ELSE 'done' END AS kind, CASE WHEN h % 17 <> 0 THEN 200 END AS status_code, CASE WHEN h % 17 = 0 THEN 'worker_error' END AS error_code, CASE WHEN h % 17 <> 0 THEN h % 50 ELSE 0 END AS completion_tokens, CASE WHEN h % 17 <> 0 THEN '{{\"choices\":[{{\"message\":{{\"content\":\"echo ' || custom_id || '\"}}}}]}}' END AS body, h % 900 + 100 AS latency_ms FROM h")
+def replay_outcomes(spark, d):
+    return replay_results(spark, d).select("custom_id", "kind", "status_code", "error_code", "completion_tokens", "body", "latency_ms")
+
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id, coalesce(first(text ORDER BY turn) FILTER (role = 'system'), first(text ORDER BY turn)) AS t FROM conversations GROUP BY conv_id),
+k AS (SELECT conv_id, ('m' || (conv_id % 3))::BLOB || '\\x00'::BLOB || encode(coalesce(substr(t, 1, 256), '')) AS b FROM c),
+h AS (SELECT conv_id, hex(b) AS x, 1 AS i, 14695981039346656037::UHUGEINT AS h FROM k UNION ALL
+  SELECT conv_id, x, i + 2, (xor(h, ('0x' || substr(x, i, 2))::UHUGEINT) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT FROM h WHERE i < length(x))
+SELECT conv_id AS line_no, row_number() OVER (ORDER BY CAST(h % 16 AS INTEGER), conv_id) AS place FROM h WHERE i > length(x)""")
+def prefix_order(spark, d):
+    from pyspark.sql.window import Window as W
+
+    # The place is that of the operator's own order of partitions and rows.
+    placed = jsonl.ordered_by_prefix(I.chats(spark, d), 16).withColumn("at", F.monotonically_increasing_id())
+    return placed.select("line_no", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("at")).cast("long").alias("place"))
+
+
+@query("SELECT event_id, blocked_until FROM (SELECT event_id, max(epoch_us(ts) // 1000 + CASE event_type WHEN 'error' THEN 5000 WHEN 'view' THEN 250 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS blocked_until FROM events)")
+def cooldown_replay(spark, d):
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = I.read(spark, d, "events").select("event_id", F.col("user_id").alias("worker"), F.struct(at.alias("at"), "event_id").alias("seq"), at.alias("at_ms"), F.when(F.col("event_type") == "error", 5000).when(F.col("event_type") == "view", 250).otherwise(0).alias("pause_ms"))
+    return dispatch.cooldown_until(rows).select("event_id", "blocked_until")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS k FROM events)
+SELECT event_id, round(greatest(at_ms::DOUBLE, max(at_ms - k * 500.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY k) + (k - 1) * 500.0::DOUBLE), 3) AS start_ms FROM e""")
+def rate_ceiling_replay(spark, d):
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = I.read(spark, d, "events").select("event_id", F.col("user_id").alias("worker"), F.struct(at.alias("at"), "event_id").alias("seq"), at.alias("at_ms"))
+    return dispatch.rate_ceiling(rows, 2.0).select("event_id", F.round("start_ms", 3).alias("start_ms"))
+
+
+@query(f"WITH {I.RES} SELECT max(latency_ms) AS peak_ms, CAST(least(greatest(2 * max(latency_ms), 1000), 1500) AS BIGINT) AS ttl_ms FROM res")
+def lease_ttl(spark, d):
+    return dispatch.lease_ttl_of(I.results(spark, d), 1000, 1500)
+
+
+@query("SELECT 'j' || s_nationkey AS job, min(s_suppkey * 1000) AS started_at, arg_max('out-' || s_suppkey, s_suppkey) FILTER (s_suppkey % 2 = 0) AS output, CAST(NULL AS BIGINT) AS concurrency FROM supplier WHERE s_nationkey <> 3 GROUP BY s_nationkey UNION ALL SELECT 'j3', coalesce((SELECT min(s_suppkey * 1000) FROM supplier WHERE s_nationkey = 3), 77), 'new', 12")
+def job_metadata(spark, d):
+    by = I.read(spark, d, "supplier").groupBy(F.concat(F.lit("j"), "s_nationkey").alias("job"))
+    jobs = by.agg(F.min(F.col("s_suppkey") * 1000).alias("started_at"), F.max_by(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("out-"), "s_suppkey")), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey"))).alias("output"), F.lit(None).cast("long").alias("concurrency"))
+    return ledger.with_job(jobs, "j3", 77, "new", 12)
+
+
+@query("SELECT 'j' || s_suppkey AS job, CASE WHEN s_suppkey % 3 = 0 THEN 'given' ELSE 'out-' || s_suppkey END AS output, CASE WHEN s_suppkey % 4 = 0 THEN 256 ELSE s_suppkey % 4 * 10 END AS concurrency FROM supplier")
+def job_resume(spark, d):
+    k = F.col("s_suppkey")
+    jobs = I.read(spark, d, "supplier").select(F.concat(F.lit("j"), k).alias("job"), F.when(k % 3 != 0, F.concat(F.lit("out-"), k)).alias("output"), F.when(k % 4 != 0, k % 4 * 10).alias("concurrency"))
+    return ledger.resume_settings(jobs, "given", None)
+
+
+@query("SELECT 'b' || page_id AS id, 'file-' || (page_id % 40) AS input_file_id, CASE WHEN page_id % 2 = 0 THEN '24h' ELSE '48h' END AS completion_window, CASE WHEN page_id = 5 THEN 'cancelled' ELSE 'in_progress' END AS status, CASE WHEN page_id = 5 THEN 9 END::BIGINT AS cancelled_at FROM pages WHERE page_id % 40 < 30")
+def batch_create_and_cancel(spark, d):
+    pages = I.read(spark, d, "pages")
+    files = pages.filter("page_id < 30").select(F.concat(F.lit("file-"), "page_id").alias("id"))
+    files = files.unionByName(spark.range(30).select(F.concat(F.lit("file-"), "id").alias("id"))).distinct()
+    asked = pages.select(F.concat(F.lit("b"), "page_id").alias("id"), F.concat(F.lit("file-"), F.col("page_id") % 40).alias("input_file_id"), F.lit("/v1/chat/completions").alias("endpoint"), F.when(F.col("page_id") % 2 != 0, "48h").alias("completion_window"))
+    return batches.cancelled(batches.create(asked, files, asked, 7), "b5", 9).select("id", "input_file_id", "completion_window", "status", "cancelled_at")
+
+
+@query("SELECT event_id, least(30000, 500 * power(2, event_id % 9))::BIGINT AS ceiling_ms, event_id % 7 >= 5 AS exhausted, event_type = 'click' AS done FROM events")
+def retry_pacing(spark, d):
+    k = F.col("event_id")
+    rows = I.read(spark, d, "events").select("event_id", "event_type")
+    return rows.select("event_id", X.backoff_ceiling(k % 9).alias("ceiling_ms"), X.exhausted(k % 7).alias("exhausted"), X.is_success(F.when(F.col("event_type") == "click", F.lit(200)), F.when(F.col("event_type") == "view", F.lit("HTTP 500"))).alias("done"))
+
+
+@query(f"WITH {I.ST}, c AS (SELECT {_COUNTS}, count(*) FILTER (status IN ('done', 'dead_letter') AND attempts > 1) AS retried FROM st), r AS (SELECT string_agg(reason || ' x' || n, ', ' ORDER BY reason) AS f FROM (SELECT {I.CLASSIFY} AS reason, count(*) AS n FROM (SELECT lower(error) AS e FROM st WHERE status = 'dead_letter') GROUP BY 1)) SELECT pending || ' pending | ' || leased || ' leased | ' || done || ' done | ' || dead || ' dead | ' || retried || ' retried | success ' || round(done / (done + dead) * 100, 1) || '% | ' || f AS text FROM c, r")
+def status_line(spark, d):
+    return ledger.status_line(ledger.status_report(I.states(spark, d)))
+
+
+@query("SELECT 'doc-' || doc_id AS custom_id FROM documents WHERE doc_id % 5 <> 4")
+def result_ids(spark, d):
+    from batchlens.sources import result_files
+
+    k = F.col("doc_id")
+    whole = F.to_json(F.struct(F.concat(F.lit("doc-"), k).alias("custom_id"), F.col("text").alias("note")))
+    broken = F.when(k % 10 == 4, whole.substr(F.lit(1), F.length(whole) - 3)).otherwise(F.to_json(F.struct(k.alias("custom_id"))))
+    return result_files.ids(I.read(spark, d, "documents").select(F.when(k % 5 == 4, broken).otherwise(whole).alias("value")))

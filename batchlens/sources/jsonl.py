@@ -5,11 +5,12 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.window import Window as W
 
-from batchlens.functions.json_text import at, is_kind, parsed, raw_json, strict_json_error, text_at
+from batchlens.functions.json_text import line_members
 from batchlens.functions.scalars import is_blank, valid_custom_id
 
 LINES = "file string, line_no long, byte_end long, value string"
@@ -106,8 +107,32 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    register(spark)
-    return spark.read.format("request_lines").option("path", path).load()
+    """file, line_no (from 1 in each file, blank lines counted) and value of the lines of files in any store.
+
+    Files are read in splits, wherever they lie. A first pass counts the lines of each split; what comes before a split
+    in its file is a running sum over that small table, and a line's place in its split is the order in which it was read.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("read_at")]
+    rows = spark.read.option("lineSep", "\n").text(path)
+    splits = rows.select(*meta).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("read_at").alias("from"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("from") + 1).alias("shift"))
+    numbered = rows.select("value", *meta).join(splits, ["file", "block"])
+    return numbered.select("file", (F.col("read_at") + F.col("shift")).alias("line_no"), F.regexp_replace("value", r"\r+\z", "").alias("value"))
+
+
+def marks(spark: SparkSession, path: str) -> DataFrame:
+    """How far files go: file, byte_end (their size) and line_end (their lines), to be kept once they have been read."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("byte_end"))
+    return rows.groupBy("file").agg(F.max("byte_end").alias("byte_end"), F.count(F.lit(1)).alias("line_end"))
+
+
+def lines_after(spark: SparkSession, path: str, read: DataFrame) -> DataFrame:
+    """Numbered lines of files beyond what marks (file, byte_end, line_end) say was read. A file that became shorter is read anew."""
+    now = marks(spark, path).select("file", F.col("byte_end").alias("size"))
+    known = read.groupBy("file").agg(F.max_by("line_end", "byte_end").alias("line_end"), F.max("byte_end").alias("byte_end")).join(now, "file")
+    known = known.select("file", F.when(F.col("size") >= F.col("byte_end"), F.col("line_end")).otherwise(0).alias("line_end"))
+    return numbered_lines(spark, path).join(known, "file", "left").filter(F.col("line_no") > F.coalesce("line_end", F.lit(0))).drop("line_end")
 
 
 def parse(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -115,24 +140,23 @@ def parse(rows: DataFrame, value: str = "value") -> DataFrame:
 
     recordId stands for custom_id, but not beside it. method is POST and url empty where absent; body is required.
     """
-    v = parsed(F.col(value))
-    text = F.col(value)
-    one, other = at(v, "$.custom_id"), at(v, "$.recordId")
-    given = text_at(v, "$.custom_id")
-    custom_id = F.coalesce(given, text_at(v, "$.recordId"))
-    optional = lambda name: at(v, f"$.{name}").isNull() | is_kind(at(v, f"$.{name}"), "STRING")
-    strict = strict_json_error(text)
+    text, strict = F.col(value), F.col("__line.error")
+    lines = rows.filter(~is_blank(text)).withColumn("__line", line_members(text, "custom_id", "recordId", "method", "url", "body", raw=("body",)))
+    kind = lambda name: F.col(f"__line.{name}.kind")
+    said = lambda name: F.col(f"__line.{name}.text")
+    custom_id = F.coalesce(said("custom_id"), said("recordId"))
+    optional = lambda name: kind(name).isNull() | (kind(name) == "string")
     error = (
-        F.when(~F.is_valid_utf8(text), "invalid UTF-8").when(strict.isNotNull(), F.concat(F.lit("invalid JSON: "), strict)).when(v.isNull() | ~is_kind(v, "OBJECT"), "not a JSON object with distinct keys")
-        .when(one.isNotNull() & other.isNotNull(), "duplicate field custom_id").when(custom_id.isNull(), "missing custom_id")
-        .when(~optional("method"), "method is not a string").when(~optional("url"), "url is not a string").when(at(v, "$.body").isNull(), "missing body")
+        F.when(~F.is_valid_utf8(text), "invalid UTF-8").when(strict.isNotNull(), F.concat(F.lit("invalid JSON: "), strict)).when(~F.col("__line.object") | ~F.col("__line.distinct"), "not a JSON object with distinct keys")
+        .when(kind("custom_id").isNotNull() & kind("recordId").isNotNull(), "duplicate field custom_id").when(custom_id.isNull(), "missing custom_id")
+        .when(~optional("method"), "method is not a string").when(~optional("url"), "url is not a string").when(kind("body").isNull(), "missing body")
         .when(~valid_custom_id(custom_id), "invalid custom_id")
     )
-    out = rows.filter(~is_blank(text)).withColumn("error", error)
+    out = lines.withColumn("error", error)
     good = lambda c: F.when(F.col("error").isNull(), c)
     return out.select(
-        *rows.columns, "error", good(custom_id).alias("custom_id"), good(F.coalesce(text_at(v, "$.method"), F.lit("POST"))).alias("method"),
-        good(F.coalesce(text_at(v, "$.url"), F.lit(""))).alias("url"), good(raw_json(text, "body")).alias("body"),
+        *rows.columns, "error", good(custom_id).alias("custom_id"), good(F.coalesce(said("method"), F.lit("POST"))).alias("method"),
+        good(F.coalesce(said("url"), F.lit(""))).alias("url"), good(F.col("__line.body.raw")).alias("body"),
     )
 
 
@@ -166,7 +190,3 @@ def ordered_by_prefix(rows: DataFrame, buckets: int, value: str = "value") -> Da
     n = min(max(buckets, 1), 256)
     keyed = rows.withColumn("bucket", F.coalesce(fnv_bucket(bucket_key(F.col(value)), n), F.lit(n)))
     return keyed.repartitionByRange("bucket", "line_no").sortWithinPartitions("bucket", "line_no")
-
-
-def file_column(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import random
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,123 @@ def test_stale_posts_are_not_acknowledged(spark, tmp_path):
     posts = spark.createDataFrame([("a", 1, True), ("b", 1, True)], "custom_id string, generation long, ok boolean").withColumns({"status_code": F.lit(200), "body": F.lit("{}"), "error": F.lit(None).cast("string"), "prompt_tokens": F.lit(1), "completion_tokens": F.lit(1), "total_tokens": F.lit(2), "latency_ms": F.lit(3), "worker_id": F.lit("w")})
     got = {r["custom_id"]: r["acked"] for r in runs.apply_posts(spark, posts, states, f"file://{tmp_path}/posts", 5).collect()}
     assert got == {"a": False, "b": True}
+
+
+class Shapes(BaseHTTPRequestHandler):
+    """Answers as the request's id says, some of them odd."""
+
+    seen: dict[str, int] = {}
+    bodies = {"list": [1], "word": {"choices": "no"}, "none": {"choices": [None]}, "blank": {"choices": [{"message": {"content": " "}}]}, "fine": {"choices": [{"message": {"content": "[1]"}}]}}
+
+    def do_POST(self):
+        name = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["id"]
+        Shapes.seen[name] = Shapes.seen.get(name, 0) + 1
+        if name == "slow":
+            time.sleep(1.5)
+        text = json.dumps(Shapes.bodies.get(name, Shapes.bodies["fine"])).encode()
+        wait = name == "wait" and Shapes.seen["wait"] == 1
+        self.send_response(429 if wait else 200)
+        if wait:
+            self.send_header("Retry-After", "1")
+        self.send_header("Content-Length", str(len(text) + (50 if name == "short" and Shapes.seen["short"] < 2 else 0)))
+        self.end_headers()
+        self.wfile.write(text)
+        self.close_connection = True
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def shapes():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Shapes)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Shapes.seen.clear()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def called(spark, url, names, **options):
+    items = spark.createDataFrame([(n, "POST", "", json.dumps({"id": n}), 1) for n in names], "custom_id string, method string, url string, body string, attempts long").coalesce(1)
+    return workers.call(items, workers.Endpoint(url, base_ms=1, **options)).collect()
+
+
+def test_http_worker_takes_odd_bodies(spark, shapes):
+    got = {r["custom_id"]: r for r in called(spark, shapes, ["list", "word", "none", "blank", "fine", "short"], check="json", tries=2)}
+    assert {n for n, r in got.items() if r["kind"] == "done"} == {"fine", "short"} and got["short"]["tries"] == 2
+    assert got["blank"]["error_message"].endswith("the text is blank") and got["list"]["error_message"].endswith("no choice in the response")
+
+
+def test_http_worker_does_not_wait_for_the_slowest(spark, shapes):
+    order = [r["custom_id"] for r in called(spark, shapes, ["slow", *[f"q{i}" for i in range(30)]], concurrency=3)]
+    assert len(order) == 31 and order.index("slow") > 20
+
+
+def test_http_worker_shares_a_pause(spark, shapes):
+    began = time.monotonic()
+    got = called(spark, shapes, ["wait", "a", "b", "c"], concurrency=1)
+    assert time.monotonic() - began >= 1 and all(r["kind"] == "done" for r in got) and Shapes.seen["wait"] == 2
+
+
+def test_limit_with_calls_in_flight():
+    limit = workers.Limit(8)
+    assert [limit.start() for _ in range(9)] == [True] * 8 + [False]
+    limit.record(False)
+    for _ in range(4):
+        limit.end()
+    assert limit.now == 4 and not limit.start()  # four are still held
+    limit.end()
+    assert limit.start() and not limit.start()
+    for _ in range(8):
+        limit.record(True)
+    assert limit.now == 5
+
+
+def test_problems_equal_the_column_rules(spark):
+    from batchlens.functions import json_text as J
+
+    bodies = ["[1]", '{"choices":"no"}', '{"choices":[]}', '{"choices":[{"text":"x"}]}', '{"choices":[{"message":{"content":"{}"}}]}', '{"choices":[{"message":{"content":"{"}}]}', '{"data":[{"embedding":[]}]}', '{"data":[{"embedding":[1]}]}', '{"content":[{"text":" "}]}', "5", "null"]
+    rows = [(c, k, b) for c in ("any", "non_empty", "json") for k in ("chat", "completions", "embeddings", "messages") for b in bodies]
+    got = spark.createDataFrame(rows, "c string, k string, b string").select("c", "k", "b", J.response_problem(F.col("c"), F.col("k"), J.parsed(F.col("b"))).alias("p")).collect()
+    assert [r["p"] for r in got] == [workers.problem(c, k, json.loads(b)) for c, k, b in rows]
+
+
+def test_import_escapes_what_it_writes(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text(json.dumps({"custom_id": "a", "method": 'P"', "url": '/v1/chat/completions?q="1"\\z', "body": {"n": 1.50}}) + "\n")
+    assert importer.write_import(spark, f"file://{tmp_path}/in.jsonl", f"file://{tmp_path}/out").first()["written"] == 1
+    line = json.loads(spark.read.text(f"file://{tmp_path}/out").first()["value"])
+    assert line == {"custom_id": "a", "method": 'P"', "url": '/v1/chat/completions?q="1"\\z', "body": {"n": 1.5}}
+
+
+def test_lines_are_numbered_over_splits_and_read_on(spark, tmp_path):
+    path = tmp_path / "many.jsonl"
+    rows = [f"line {i} " + "x" * (i % 90) for i in range(3000)]
+    rows[7] = rows[2999] = ""
+    path.write_text("\n".join(rows) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        lines = jsonl.numbered_lines(spark, f"file://{path}")
+        assert lines.rdd.getNumPartitions() > 3
+        assert [(r["line_no"], r["value"]) for r in lines.orderBy("line_no").collect()] == list(enumerate(rows, 1))
+        read = spark.createDataFrame(jsonl.marks(spark, f"file://{path}").collect(), "file string, byte_end long, line_end long")
+        assert jsonl.lines_after(spark, f"file://{path}", read).count() == 0
+        with path.open("a") as more:
+            more.write("one\r\ntwo")
+        assert [(r["line_no"], r["value"]) for r in jsonl.lines_after(spark, f"file://{path}", read).orderBy("line_no").collect()] == [(3001, "one"), (3002, "two")]
+        path.write_text("short\n")
+        assert [(r["line_no"], r["value"]) for r in jsonl.lines_after(spark, f"file://{path}", read).collect()] == [(1, "short")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("line", ['{"a":1}', ' {"a" : [1, {"b":2}] , "c":"x"} ', '{"a":1,"a":2}', '{"a":{"b":1,"b":2}}', "{}", "[1]", "7", "", "{", '{"a":1,}', '{"a" 1}', '{"a":1} x', '{"a":NaN}', '{"a":1e999}', '{"a":"\\ud800"}', "{a:1}", '{"a":1,,"b":2}', '{,"a":1}', None])
+def test_members_agree_with_the_strict_parser(line):
+    from batchlens.functions import json_text as J
+
+    error, found, twice = J.object_members(line)
+    assert (error is None) == (J.strict_error(line) is None)
+    if error is None:
+        value = json.loads(line)
+        assert (found is not None) == isinstance(value, dict) and (found is None or {k: v for k, (v, _) in found.items()} == value)
+        assert all(json.loads(raw) == v for v, raw in (found or {}).values()) and twice == (line in ('{"a":1,"a":2}', '{"a":{"b":1,"b":2}}'))
