@@ -7,17 +7,20 @@ characters, which bounds its tables, and all segments of a batch walk together.
 steps a character, a fingerprint samples `SLOTS` steps, each hashed to four bits. The sample is consistent: each slot
 takes the step of lowest random rank below the text's length, so texts of similar length sample the same steps.
 
-`near_duplicates` finds candidates by banding on sampled slots and verifies them on whole fingerprints. `neighbours`
-pairs every document with the next one in descending id.
+`classes` finds candidates by banding on sampled slots and verifies them on whole fingerprints. Bands are so wide that
+texts without relation rarely share one, whatever the number of texts, and so many that of pairs just at the threshold
+about `MISSED` share none. `neighbours` pairs every document with the next one in descending id.
 
 Nulls and odd input: a null text counts as empty, and an empty one emits padding only; a null id is ordered after all
-others; rows with repeated ids follow one another in the order of their texts. Very long texts are walked whole. In a
-table of one row the next document is the row itself. An empty table gives an empty result. Extra columns are ignored.
+others; rows with repeated ids follow one another in the order of a hash of their texts. Very long texts are walked
+whole. In a table of one row the next document is the row itself. An empty table gives an empty result. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
-from batchlens.llm.common import partitions, stage, table
+from batchlens.llm.common import discard, partitions, stage, table
 from batchlens.llm.kernels import U64, mix
 
 SLOTS, SEGMENT, KINDS = 256, 4096, 64
@@ -34,7 +38,10 @@ SLOTS, SEGMENT, KINDS = 256, 4096, 64
 STEPS = 2 * SEGMENT
 #: How often slots of unrelated texts agree: equal hashes of different characters and equal characters.
 CHANCE = 0.12
-BANDS, WIDTH, LIKENESS = 42, 6, 0.75
+#: Likeness of near duplicates, and the share of pairs just there that no band finds.
+LIKENESS, MISSED = 0.85, 0.01
+#: How often slots of texts of one language agree by chance, at most, and slots of a band beyond what keeps chance to one partner a text.
+ALIKE, BEYOND = 1 / 7, 3
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -162,29 +169,34 @@ def _dealt(spark: SparkSession, docs: DataFrame, parts: int) -> DataFrame | None
     bounds = np.unique(np.array(cuts, np.int64))[::-1] if parts > 1 else np.zeros(0, np.int64)
     ascending = bounds[::-1].copy()
 
-    def number(key: pd.Series) -> np.ndarray:
-        return len(ascending) - np.searchsorted(ascending, key.to_numpy(np.int64), "left")
+    def number(key: np.ndarray) -> np.ndarray:
+        return len(ascending) - np.searchsorted(ascending, key, "left")
 
     @F.pandas_udf("int")
     def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(number(key).astype(np.int32))
+        return pd.Series(number(key.to_numpy(np.int64)).astype(np.int32))
 
     tops = {r["part"]: r["top"] for r in rows.select(part_of("key").alias("part"), "key").groupBy("part").agg(F.max("key").alias("top")).collect()}
     there = sorted(tops)
     before = {p: there[i - 1] for i, p in enumerate(there)}
 
-    @F.pandas_udf("int")
-    def guest_of(key: pd.Series) -> pd.Series:
-        own = number(key)
-        top = np.array([tops.get(p, low) for p in range(len(ascending) + 1)], np.int64)
-        to = np.array([before.get(p, -1) for p in range(len(ascending) + 1)], np.int32)
-        return pd.Series(np.where(key.to_numpy(np.int64) == top[own], to[own], -1).astype(np.int32))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their part, once more as guests where they are; texts are compressed for the shuffle."""
+        pack = ZstdCompressor(level=1).compress
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            own = number(key)
+            top = np.array([tops.get(p, low) for p in range(len(ascending) + 1)], np.int64)
+            to = np.array([before.get(p, -1) for p in range(len(ascending) + 1)], np.int32)
+            guests = np.flatnonzero((key == top[own]) & (to[own] >= 0))
+            packed = pa.array([pack(t) for t in batch.column("text").fill_null("").cast(pa.binary()).to_pylist()], pa.binary())
+            for at, part, guest in ((np.arange(len(key)), own, 0), (guests, to[own[guests]], 1)):
+                if len(at):
+                    pick = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pick), packed.take(pick), batch.column("key").take(pick), batch.column("tie").take(pick), pa.array(part.astype(np.int32)), pa.array(np.full(len(at), guest, np.int32))], ["doc_id", "packed", "key", "tie", "part", "guest"])
 
-    placed = rows.withColumn("part", part_of("key")).withColumn("guest_of", guest_of("key"))
-    own = F.struct(F.col("part"), F.lit(0).alias("guest"))
-    placed = placed.withColumn("to", F.explode(F.when(F.col("guest_of") >= 0, F.array(own, F.struct(F.col("guest_of").alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(own))))
-    placed = placed.select("doc_id", "text", "key", "to.part", "to.guest")
-    return placed.repartition(max(parts, 1), "part").sortWithinPartitions("part", "guest", F.desc("key"), "text")
+    placed = rows.withColumn("tie", F.xxhash64("text")).mapInArrow(deal, "doc_id long, packed binary, key long, tie long, part int, guest int")
+    return placed.repartitionById(max(parts, 1), "part").sortWithinPartitions("part", "guest", F.desc("key"), "tie")
 
 
 NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -211,12 +223,14 @@ def neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, now, closed = [], [], 0, None, True
+        unpack = ZstdDecompressor().decompress
         for batch in batches:
-            for doc_id, text, part, guest in zip(batch.column("doc_id").to_pylist(), batch.column("text").fill_null("").to_pylist(), batch.column("part").to_pylist(), batch.column("guest").to_pylist(), strict=True):
+            for doc_id, packed, part, guest in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("part").to_pylist(), batch.column("guest").to_pylist(), strict=True):
                 if part != now:
                     ids, texts, size, now, closed = [], [], 0, part, False
                 if closed:  # further rows with the id of the first guest
                     continue
+                text = unpack(packed).decode()
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
@@ -227,19 +241,34 @@ def neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, NEIGHBOURS)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """doc_id, fingerprint and component_id, the least id among documents reached by likenesses of at least `least`.
+def bands(n: int, least: float = LIKENESS) -> tuple[int, int]:
+    """How many bands, and slots of each, for n different fingerprints."""
+    width = max(1, math.ceil(math.log(max(n, 2)) / -math.log(ALIKE))) + BEYOND
+    found = (CHANCE + (1 - CHANCE) * least) ** width
+    return math.ceil(math.log(MISSED) / math.log(1 - found)), width
+
 
-    Candidates share one of BANDS bands of WIDTH sampled slots; links are verified on whole fingerprints. Equal
-    fingerprints are one class. Buckets are linked to hubs first and expanded only between components.
+def classes(spark: SparkSession, docs: DataFrame, least: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of docs (doc_id, fingerprint, sid), and per different one its component_id: the least id among documents reached by likenesses of at least `least`.
+
+    Candidates share a band of sampled slots; links are verified on whole fingerprints. Equal fingerprints are one
+    class. Only bands that several classes share become postings; these are linked to hubs first and expanded only
+    between components.
     """
     from batchlens.llm.jaccard import linked
 
     prints = stage(spark, fingerprints(docs).withColumn("sid", F.xxhash64("fingerprint")), "edit-prints")
-    classes = stage(spark, prints.groupBy("sid").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least")), "edit-classes")
-    slots = np.random.Generator(np.random.PCG64(7)).permutation(SLOTS)[: BANDS * WIDTH].reshape(BANDS, WIDTH) + 1
-    bands = F.array(*[F.xxhash64(F.lit(b), F.concat(*[F.substring("fingerprint", int(s), 1) for s in row])) for b, row in enumerate(slots)])
-    postings = stage(spark, classes.select(F.explode(bands).alias("token"), "sid", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("central"), F.lit(0).cast("long").alias("pos")), "edit-bands")
+    known = stage(spark, prints.groupBy("sid").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least")), "edit-classes")
+    number, width = bands(known.count(), least)
+    draw = np.random.Generator(np.random.PCG64(7))
+    slots = [draw.choice(SLOTS, min(width, SLOTS), replace=False) + 1 for _ in range(number)]
+    tokens = F.array(*[F.xxhash64(F.lit(b), F.concat(*[F.substring("fingerprint", int(s), 1) for s in row])) for b, row in enumerate(slots)])
+    every = known.select(F.explode(tokens).alias("token"), "sid")
+    shared = every.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("token")
+    shared = stage(spark, shared, "edit-shared")
+    zero = F.lit(0).cast("long")
+    postings = every.join(shared.hint("merge"), "token", "left_semi").select("token", "sid", F.lit(1).cast("long").alias("n"), zero.alias("central"), zero.alias("pos"))
+    postings = stage(spark, postings, "edit-bands")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -247,14 +276,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = LIKENES
         return pd.Series(likeness(x, y))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (classes.select(F.col("sid").alias(k), F.col("fingerprint").alias(f"f{k}")) for k in "ab")
+        a, b = (known.select(F.col("sid").alias(k), F.col("fingerprint").alias(f"f{k}")) for k in "ab")
         return pairs.join(a, "a").join(b, "b").filter(alike("fa", "fb") >= least).select("a", "b")
 
     labels = linked(spark, postings, verified)
-    known = classes.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    lowest = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(known.join(lowest, "label").select("sid", "component_id"), "sid").select("doc_id", "fingerprint", "component_id")
+    named = known.select("sid", "least").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    found = stage(spark, named.join(lowest, "label").select("sid", "component_id"), "edit-components")
+    discard(spark, known, shared, postings)
+    return prints, found
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """doc_id, fingerprint and component_id, the least id among documents reached by likenesses of at least `least`."""
+    prints, found = classes(spark, docs, least)
+    return prints.join(found, "sid").select("doc_id", "fingerprint", "component_id")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark, table(spark, sf_dir, "documents"))
+    """Every document against its edited text and the next one, and its component of near duplicates."""
+    docs = table(spark, sf_dir, "documents")
+    prints, found = classes(spark, docs)
+    discard(spark, prints)
+    rows = neighbours(spark, docs).withColumn("sid", F.xxhash64("fingerprint"))
+    return rows.join(found.hint("merge"), "sid").drop("sid")

@@ -24,6 +24,9 @@ DOC = "doc_id long, text string, lang string, source string, n_chars long, score
 WORDS = "the of and to in is that for it was on are as with his they at be this from".split()
 
 
+needs_tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
+
+
 @pytest.fixture(scope="module", autouse=True)
 def shipped(spark):
     ship(spark)
@@ -398,6 +401,30 @@ def test_edit_near_duplicates(spark):
         rows += [(g * 10 + k, base if k < 2 else base[: 50 * k] + "q" + base[50 * k :]) for k in range(4)]
     got = {r["doc_id"]: r["component_id"] for r in edits.near_duplicates(spark, docs(spark, rows)).collect()}
     assert got == {i: i // 10 * 10 for i, _ in rows}
+    assert edits.near_duplicates(spark, docs(spark, [])).count() == 0
+
+
+@needs_tables
+def test_edit_query_equals_brute_force(spark):
+    """Components of the query against likenesses of all pairs: nothing else is linked, and hardly a link is missed."""
+    from batchlens.llm import queries
+
+    rows = queries.queries()["op1_edit_fingerprint"](spark, DIR).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    ids = sorted(texts)
+    prints = edits.fingerprint([texts[i] for i in ids])
+    assert {r["doc_id"]: r["fingerprint"] for r in rows} == dict(zip(ids, edits.spelled(prints), strict=True))
+    low, links = {i: i for i in ids}, []
+    for i, a in enumerate(ids):
+        near = edits.likeness(prints[i + 1 :], prints[i]) >= edits.LIKENESS
+        links += [(a, ids[i + 1 + j]) for j in np.flatnonzero(near)]
+    for _ in range(len(ids)):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert len(links) > 5 and all(low[got[i]] == low[i] for i in ids)
+    assert sum(got[a] != got[b] for a, b in links) <= max(1, 0.05 * len(links))
 
 
 # FLAC
@@ -708,9 +735,6 @@ def test_flattened_trees_equal_plain_traversal():
 # Queries and pipeline on the driver's tables
 
 
-needs_tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
-
-
 @needs_tables
 @pytest.mark.parametrize("name", ["op2_warc", "op3_licence_scan", "op7_mixing", "op9_jaccard_join", "op10_line_dedup"])
 def test_query_equals_sql(spark, name):
