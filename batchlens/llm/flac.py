@@ -5,8 +5,8 @@ a constant, plain samples, fixed linear predictors of order 0 to 2 and a quantis
 Rice-coded residuals, and writes the header's CRC-8 and the frame's CRC-16. The decoder finds frames by their headers
 (sync code, CRC-8, running frame number), checks every CRC-16, and decodes Rice residuals (any partition order) and
 linear predictors (fixed or quantised, any order) one sample of all frames at a time; last it checks the stream's MD5.
-`stored` writes the streams as a table in the shared folder, and `decoded` reads them back and writes their samples as
-PCM blocks with the sample offset at which each starts, so that a reader can seek to any of them (`seek`).
+`stored` writes the streams as a table in the shared folder; `pcm_blocks` reads them back and decodes them into blocks
+with the sample offset at which each starts, `decoded` writes these as a table, and `seek` reads from any offset of it.
 
 Nulls and odd input: a null text is empty, and an empty one is stored as one block of spaces; null and repeated ids are
 allowed. Very long texts are coded whole, on their own. Bytes that do not decode raise ValueError. An empty table gives
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import discard, stage, table
+from batchlens.llm.common import stage, table
 from batchlens.llm.kernels import slices, text_bytes
 
 BLOCK, RATE, PAD = 192, 8000, 32
@@ -356,11 +356,11 @@ BLOCKS = "array<struct<sample_offset: bigint, pcm: binary>>"
 
 def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every text as a FLAC stream in a table of the shared folder: doc_id, n_bytes and media."""
-    return stage(spark, encoded(docs), "flac-media", "none")
+    return stage(spark, encoded(docs), "flac-media", "zstd")
 
 
-def decoded(spark: SparkSession, media: DataFrame, blocks: int = 64) -> DataFrame:
-    """Samples of stored media in runs of `blocks` FLAC blocks, as a table of the shared folder: doc_id, n_bytes, media_bytes, media_sha256 and blocks, an array of sample_offset (where a run starts) and pcm (unsigned bytes). Rows without media are left out."""
+def pcm_blocks(media: DataFrame, blocks: int = 64) -> DataFrame:
+    """Samples of stored media in runs of `blocks` FLAC blocks: doc_id, n_bytes, media_bytes, media_sha256 and blocks, an array of sample_offset (where a run starts) and pcm (unsigned bytes). Rows without media are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,8 +371,12 @@ def decoded(spark: SparkSession, media: DataFrame, blocks: int = 64) -> DataFram
                 kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, kind)], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
-    out = media.filter("media IS NOT NULL").select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks {BLOCKS}")
-    return stage(spark, out, "flac-pcm", "zstd")
+    return media.filter("media IS NOT NULL").select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks {BLOCKS}")
+
+
+def decoded(spark: SparkSession, media: DataFrame, blocks: int = 64) -> DataFrame:
+    """The PCM blocks of stored media as a table of the shared folder."""
+    return stage(spark, pcm_blocks(media, blocks), "flac-pcm", "zstd")
 
 
 def seek(pcm: DataFrame, start: int, length: int) -> DataFrame:
@@ -396,7 +400,7 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Store every text as FLAC, read the stored bytes back, write their PCM blocks, and describe what these hold."""
+    """Store every text as FLAC, read the stored bytes back, decode them into PCM blocks, and describe what these hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,10 +414,7 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGEST.split(", ")])
 
-    media = stored(spark, docs)
-    pcm = decoded(spark, media)
-    discard(spark, media)
-    return pcm.mapInArrow(run, DIGEST)
+    return pcm_blocks(stored(spark, docs)).mapInArrow(run, DIGEST)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

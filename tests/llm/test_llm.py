@@ -405,11 +405,9 @@ def test_edit_near_duplicates(spark):
 
 
 @needs_tables
-def test_edit_query_equals_brute_force(spark):
-    """Components of the query against likenesses of all pairs: nothing else is linked, and hardly a link is missed."""
-    from batchlens.llm import queries
-
-    rows = queries.queries()["op1_edit_fingerprint"](spark, DIR).collect()
+def test_edit_near_duplicates_of_a_table_equal_brute_force(spark):
+    """Components against likenesses of all pairs: nothing else is linked, and hardly a link is missed."""
+    rows = edits.near_duplicates(spark, spark.read.parquet(f"{DIR}/documents.parquet")).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
     assert len(rows) == len(texts)
     ids = sorted(texts)
