@@ -33,8 +33,10 @@ def append(spark: SparkSession, rows: DataFrame, store: str, order: list[str], j
     """Append rows whose ids are in neither kind of the store yet; how many. Rows need custom_id and kind (done or dead).
 
     Results come first and the manifest of their ids after them, so a crash between the two leaves ids that the next
-    append sees in the results themselves.
+    append sees in the results themselves. A finalized store takes no more rows (ValueError).
     """
+    if written(spark, f"{store}/export"):
+        raise ValueError(f"{store} is finalized")
     ids = manifest(spark, f"{store}/results").unionByName(manifest(spark, f"{store}/_manifest")).distinct()
     new = first_terminal(rows, order).join(ids, "custom_id", "left_anti").withColumn("job", F.lit(job))
     # What is appended is fixed before the first write to the path it was compared with.
@@ -47,6 +49,31 @@ def append(spark: SparkSession, rows: DataFrame, store: str, order: list[str], j
     return count
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end at path."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def finalize(spark: SparkSession, store: str, order: list[str]) -> str:
+    """Write the export of a store once and close it to further rows; its path. Finalizing again changes nothing."""
+    path = f"{store}/export"
+    if not written(spark, path):
+        export(first_terminal(spark.read.parquet(f"{store}/results"), order), path)
+    return path
+
+
+def reshape_once(spark: SparkSession, rows: DataFrame, path: str) -> str | None:
+    """Write REST output lines of a finished batch once; the path, or None where there are no lines. Lines that stand stay as they are."""
+    if written(spark, path):
+        return path
+    lines = reshaped(rows).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    if lines.isEmpty():
+        return None
+    lines.write.mode("overwrite").text(path)
+    return path
+
+
 def open_run(spark: SparkSession, store: str) -> str:
     """The one job in a store; ValueError where there is none or more."""
     jobs = [r["job"] for r in spark.read.parquet(f"{store}/results").select("job").distinct().limit(2).collect()]

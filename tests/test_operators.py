@@ -180,6 +180,44 @@ def test_ledger_stream_equals_fold(spark, tmp_path):
     assert got == want == {"x": ("done", 1, None), "y": ("leased", 2, "v")}
 
 
+def test_ledger_stream_reaps_expired_leases(spark, tmp_path):
+    batches = [
+        [("x", 1, "enqueue", 0, 1, None, None, None), ("x", 2, "lease", None, 1, 50, "w", None), ("y", 3, "enqueue", 0, 1, None, None, None), ("y", 4, "lease", None, 1, 900_000, "w", None)],
+        [("z", 5, "enqueue", 0, 5_000, None, None, None)],
+        [("x", 6, "ack", 1, 6_000, None, None, None), ("z", 5, "enqueue", 0, 5_000, None, None, None), ("y", 7, "ack", 1, 6_000, None, None, None)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = flows.ledger_states(spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in"), late="1 second")
+        out = []
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda batch, _: out.extend(batch.collect())).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        got = {r["custom_id"]: (r["status"], r["attempts"], r["leased_by"]) for r in out}
+        # The lease of x ends when z's event comes; its late ack changes nothing, that of y, still held, does.
+        want = [{"x": ("leased", 1, "w"), "y": ("leased", 1, "w")}, {"x": ("pending", 1, None), "z": ("pending", 0, None)}, {"x": ("pending", 1, None), "y": ("done", 1, None), "z": ("pending", 0, None)}]
+        assert got == want[i]
+
+
+def test_finalized_store_takes_no_more(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    results.append(spark, spark.createDataFrame([result("a", "done", 1), result("b", "dead", 2)], RESULT), store, ["seq"])
+    path = results.finalize(spark, store, ["seq"])
+    rows = sorted((r["custom_id"], r["status_code"] is None) for r in spark.read.parquet(path).collect())
+    assert rows == [("a", False), ("b", True)] and results.finalize(spark, store, ["seq"]) == path
+    with pytest.raises(ValueError, match="finalized"):
+        results.append(spark, spark.createDataFrame([result("c", "done", 3)], RESULT), store, ["seq"])
+
+
+def test_reshaped_lines_are_written_once(spark, tmp_path):
+    path = f"file://{tmp_path}/lines"
+    shape = "custom_id string, status_code int, request_id string, body string, error_code string, error_message string"
+    table = lambda *names: spark.createDataFrame([(n, 200, None, "{}", None, None) for n in names], shape)
+    assert results.reshape_once(spark, table(), path) is None and not results.written(spark, path)
+    assert results.reshape_once(spark, table("a", "b"), path) == path
+    assert results.reshape_once(spark, table("c"), path) == path
+    assert sorted(json.loads(r["value"])["custom_id"] for r in spark.read.text(path).collect()) == ["a", "b"]
+
+
 def test_import_goldens(spark, tmp_path):
     path = lines_file(tmp_path, [b'{"custom_id":"a","method":"PUT","url":"","body":{"messages":[]}}', b'{"custom_id":"b","params":{"messages":[]}}', b'{"recordId":"c","modelInput":{"input":"x"}}', b'{"custom_id":"d"}', b'{"custom_id":"a","body":{}}', b'{"custom_id":null,"recordId":"e","body":{}}'])
     good, rejects, stats = importer.import_batch(jsonl.numbered_lines(spark, path))
