@@ -10,6 +10,7 @@ import os
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -788,3 +789,27 @@ def test_components_of_links(spark):
     links = [(a, b) for a, b in links if a != b]
     got = jaccard.connected(spark, spark.createDataFrame(links, "a long, b long"))
     assert {r["sid"]: r["label"] for r in got.collect()} == label
+
+
+def test_ftrl_equals_plain_updates():
+    """FTRL-proximal one coordinate at a time, with scalars in dictionaries."""
+    draw = random.Random(5)
+    documents = [(label, sorted(draw.sample(range(40 * label, 40 * label + 60), draw.randrange(0, 25)))) for label in (draw.randrange(2) for _ in range(300))]
+    weights, bias = toxicity.ftrl([(label, np.array(found, np.int32)) for label, found in documents], bits=7, epochs=3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for label, found in documents:
+            at = [*found, "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    assert weights == pytest.approx([weight(i) for i in range(128)], abs=1e-9) and bias == pytest.approx(weight("bias"), abs=1e-9)
+    assert 0 < np.count_nonzero(weights) < 100
