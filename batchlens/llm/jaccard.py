@@ -305,12 +305,19 @@ def _hub_pairs(live: DataFrame, percent: int, turn: int = 0) -> DataFrame:
 
 
 def _cross_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """All pairs of posting lists between different components: those outside a list's largest component against all."""
-    mixed = live.withColumn("shares", F.ceil(F.col("members") / SHARE))
-    probe = mixed.select("token", F.pmod(F.xxhash64("sid"), F.col("shares")).alias("share"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"), (F.col("label") == F.col("main")).alias("ma"))
-    build = mixed.filter("label <> main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    """All pairs of posting lists between different components: those outside a list's largest component against all.
+
+    Both sides are dealt into shares, and each share of one meets each of the other on its own, so that a (token, share,
+    turn) holds about `SHARE` members of either side however long the list or its part outside the largest component is.
+    """
+    outside = F.col("members") - F.col("main_size")
+    mixed = live.withColumn("shares", F.ceil(F.col("members") / SHARE)).withColumn("turns", F.ceil(outside / SHARE))
+    dealt = lambda seed, into: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(into))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    probe = mixed.select("token", dealt(0, "shares").alias("share"), every("turns").alias("turn"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"), (F.col("label") == F.col("main")).alias("ma"))
+    build = mixed.filter("label <> main").select("token", every("shares").alias("share"), dealt(1, "turns").alias("turn"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     # The filters are part of the join, so that pairs that fail are never rows.
-    joined = probe.join(build, ["token", "share"]).filter((F.col("la") != F.col("lb")) & (F.col("ma") | (F.col("a") < F.col("b"))))
+    joined = probe.join(build, ["token", "share", "turn"]).filter((F.col("la") != F.col("lb")) & (F.col("ma") | (F.col("a") < F.col("b"))))
     return _pairs(joined, percent)
 
 

@@ -102,6 +102,18 @@ def test_join_chain_across_hubs(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("share", [1, 3, 2048])
+def test_join_last_turn_meets_all_pairs(spark, monkeypatch, share):
+    """Pairs between components of a list, whatever the size of its shares, against all pairs."""
+    monkeypatch.setattr(jaccard, "SHARE", share)
+    draw = random.Random(9)
+    postings = [(token, sid, 40, 0, draw.randrange(3), draw.choice([1, 1, 1, 2, 3, sid + 10]), True) for token in (5, 6, 7) for sid in draw.sample(range(100), 20 * (token - 4))]
+    live = jaccard._live(spark, spark.createDataFrame(postings, "token long, sid long, n long, central long, pos long, label long, early boolean"))
+    got = [(r["a"], r["b"]) for r in jaccard._cross_pairs(live, 75).collect()]
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in postings for y in postings if x[0] == y[0] and x[5] != y[5]}
+    assert sorted(got) == sorted(want)
+
+
 def test_join_odd_input(spark):
     got = jaccard.components(spark, docs(spark, ODD)).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == brute_components(ODD)
@@ -731,6 +743,41 @@ def test_flattened_trees_equal_plain_traversal():
     assert ((score > 0.5) == y).mean() > 0.95
 
 
+def test_boosted_trees_equal_plain_split_search():
+    """Each split the best of all cuts between bins of all features, sought row by row."""
+    rng = np.random.default_rng(23)
+    x = np.column_stack([rng.normal(size=(260, 2)), rng.integers(0, 4, 260)])
+    y = ((x[:, 0] + 0.5 * x[:, 2] + rng.normal(scale=0.4, size=260)) > 0.6).astype(float)
+    trees = quality.boost(x, y, 3)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for f in range(3)]
+    total = np.full(260, math.log(y.mean() / (1 - y.mean())))
+
+    def gain(g, h):
+        return sum(g) ** 2 / (sum(h) + quality.SMOOTH)
+
+    def grow(rows, g, h, depth, out):
+        best = None
+        for f in range(3) if depth else ():
+            for cut in edges[f]:
+                low, high = [i for i in rows if x[i, f] <= cut], [i for i in rows if x[i, f] > cut]
+                if min(len(low), len(high)) >= quality.LEAST:
+                    found = gain(g[low], h[low]) + gain(g[high], h[high]) - gain(g[rows], h[rows])
+                    if found > 1e-9 and (best is None or found > best[0] + 1e-9):
+                        best = found, low, high
+        if best is None:
+            out[rows] = -quality.RATE * sum(g[rows]) / (sum(h[rows]) + quality.SMOOTH)
+            return
+        for part in best[1:]:
+            grow(part, g, h, depth - 1, out)
+
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-total))
+        step = np.zeros(260)
+        grow(list(range(260)), p - y, p * (1 - p), quality.DEPTH, step)
+        total += step
+    assert trees.score(x) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 # Queries and pipeline on the driver's tables
 
 
