@@ -19,21 +19,23 @@ def free_slots(workers: DataFrame, in_flight: DataFrame) -> DataFrame:
     return out.select("worker", F.greatest(F.greatest("cap", F.lit(1)) - F.coalesce("busy", F.lit(0)), F.lit(0)).alias("cap"), "load")
 
 
-def assign(workers: DataFrame, n_items: int, base: int = 0, load_aware: bool = True) -> DataFrame:
+def assign(workers: DataFrame, n_items: int, base: int = 0, load_aware: bool = True, fall_back: bool = True) -> DataFrame:
     """item (from 0) and worker for n_items items over workers (worker, load, cap).
 
     Without a load signal slots are dealt in rotation, each worker's k-th slot in the k-th round; if there are more
     items than slots, plainly in rotation. With one, the least loaded worker's slots come first, workers of unknown load
-    last, and what exceeds all slots goes round in that order. Workers are numbered by their id.
+    last, and what exceeds all slots goes round in that order. If no load at all is known, they are dealt as without a
+    signal; with `fall_back` off the order by load stands even then. Workers are numbered by their id, null last; a cap
+    below 1 is no slot.
     """
-    ready = workers.withColumn("w", F.row_number().over(W.orderBy("worker")) - 1)
+    ready = workers.withColumn("w", F.row_number().over(W.orderBy(F.asc_nulls_last("worker"))) - 1)
     # A fleet is a small table; its size and slots decide the branch.
-    n, total, known = ready.agg(F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.count("load")).first()
+    n, total, known = ready.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest("cap", F.lit(0))), F.lit(0)), F.count("load")).first()
     if not n or n_items <= 0:
         return workers.limit(0).select(F.lit(0).cast("long").alias("item"), "worker")
     spark = workers.sparkSession
     turn = F.pmod(F.col("w") - base, F.lit(n))
-    biased = load_aware and known > 0
+    biased = load_aware and (known > 0 or not fall_back)
     slots = ready.filter("cap > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cap").cast("int") - 1)))
     if not biased and n_items > total:
         items = spark.range(n_items).withColumn("w", (F.col("id") + base) % n)
