@@ -5,12 +5,14 @@ than a sequence are cut, into full pieces and a shorter last one. Full pieces fi
 are items of a bin packing: they are dealt by hash into blocks of bounded size, and for every block several islands
 evolve packings of it. An individual is a list of bins. Each island starts from packings of its own (best fit of items
 in decreasing and in disturbed orders). Crossover injects whole well-filled bins of one parent into the other, removes
-the other's bins that hold an injected item, and puts the items so displaced back by best fit; mutation dissolves the
-emptiest bins. Fewer bins are better, and of as many the more unevenly filled, as room then gathers in few of them.
-After each of `ROUNDS` rounds every island hands its elite to the next one in a ring. The best packing of a block's
-islands counts: its well-filled bins stand, and the fuller half of its bins at least; the others are opened and their
-items packed again together with those of other blocks, level by level, each with at most half the bins, until one block
-is left.
+the other's bins that hold an injected item, and puts the items so displaced back by best fit; mutation dissolves some
+of the emptiest bins and some random ones. Items are put back in a decreasing order that is a little disturbed, so that
+no two tries are the same. Fewer bins are better, and of as many the more unevenly filled, as room then gathers in few
+of them; of packings equal in both one lives. There is no early end: an island goes through all its generations.
+After each of `ROUNDS` rounds but the last every island hands its elite to the next one in a ring; its other packings
+live on in it. The best packing of a block's islands counts: its well-filled bins stand, and the fuller half of its bins
+at least; the others are opened and their items packed again together with those of other blocks, level by level, each
+with at most half the bins, until one block is left.
 
 Nulls and odd input: a null or empty text is the end id alone. Null and repeated ids are allowed: pieces are identified
 by a row id drawn when the pieces are first written, not by doc_id. Very long texts are cut as said. An empty table
@@ -18,7 +20,7 @@ gives an empty result. Extra columns are ignored.
 
 A block holds about `BLOCK` items whatever the input's size, and blocks are dealt by a hash, so a hot source or length
 cannot fill one. Only lengths travel; token ids stay in the task that made them, which keeps their checksum. An island
-is one row, of a few bytes an item, so migration moves whole packings and no item by item tables.
+is one row, of four bytes an item and packing, so migration moves whole packings and no item by item tables.
 """
 
 from __future__ import annotations
@@ -43,7 +45,9 @@ from batchlens.llm.kernels import slices
 CAPACITY = 4096
 END_ID = 1
 #: Items of a block, islands that evolve each block, packings of an island, generations of a round, and rounds, between which elites migrate.
-BLOCK, ISLANDS, POPULATION, GENERATIONS, ROUNDS = 3000, 2, 3, 2, 3
+BLOCK, ISLANDS, POPULATION, GENERATIONS, ROUNDS = 3000, 3, 8, 20, 3
+#: How far the order in which items are put back is disturbed.
+DISTURBED = 0.1
 #: A bin filled to this share stands; others are opened for the next level.
 WELL_FILLED = 0.995
 #: Words whose ids a worker keeps.
@@ -150,15 +154,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 def best_fit(bins: list[list[int]], order: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Put each item of `order` into the fullest bin that holds it, or a new one. Changes and returns bins."""
+    """Put each item of `order` into the fullest bin that holds it, or a new one. Changes and returns bins, but no bin in it: packings share bins."""
     # Room and number of each bin in one number, so that the list is searched without tuples.
-    room = sorted(capacity - sum([lengths[i] for i in items]) << 32 | at for at, items in enumerate(bins))
+    room = sorted([capacity - sum([lengths[i] for i in items]) << 32 | at for at, items in enumerate(bins)])
+    room = room[bisect_left(room, 1 << 32) :]
     for item in order:
         size = lengths[item]
         at = bisect_left(room, size << 32)
         if at < len(room):
             found = room.pop(at)
-            bins[found & 0xFFFFFFFF].append(item)
+            b = found & 0xFFFFFFFF
+            bins[b] = [*bins[b], item]
             found -= size << 32
         else:
             found = capacity - size << 32 | len(bins)
@@ -168,29 +174,34 @@ def best_fit(bins: list[list[int]], order: list[int], lengths: list[int], capaci
     return bins
 
 
+def _decreasing(items: list[int], lengths: list[int], draw: Random, disturbed: float = DISTURBED) -> list[int]:
+    """Items by decreasing length, each length taken a little wrong."""
+    return sorted(items, key=lambda i: -lengths[i] * draw.uniform(1 - disturbed, 1 + disturbed))
+
+
 def crossover(one: list[list[int]], other: list[list[int]], lengths: list[int], capacity: int, draw: Random) -> list[list[int]]:
-    """Whole well-filled bins of `other` go into `one`; bins of `one` that share an item go, and their other items are put back by best fit."""
+    """Up to half of the well-filled bins of `other` go whole into `one`; bins of `one` that share an item go, and their other items are put back by best fit."""
     fill = [sum([lengths[i] for i in items]) for items in other]
-    full = sorted(range(len(other)), key=lambda b: -fill[b])
+    full = sorted(range(len(other)), key=fill.__getitem__, reverse=True)
     chosen = full[: max(1, len(full) // 2)]
-    injected = [list(other[b]) for b in draw.sample(chosen, max(1, len(chosen) // 2))]
+    injected = [other[b] for b in draw.sample(chosen, draw.randint(1, max(1, len(chosen) // 2)))]
     inside = {i for items in injected for i in items}
     kept, displaced = [], []
     for items in one:
         if inside.isdisjoint(items):
-            kept.append(list(items))
+            kept.append(items)
         else:
             displaced += [i for i in items if i not in inside]
-    displaced.sort(key=lambda i: (-lengths[i], i))
-    return best_fit(kept + injected, displaced, lengths, capacity)
+    return best_fit(kept + injected, _decreasing(displaced, lengths, draw), lengths, capacity)
 
 
 def mutate(bins: list[list[int]], lengths: list[int], capacity: int, draw: Random) -> list[list[int]]:
-    """Dissolve the emptiest bins and one random one; their items are put back by best fit."""
-    order = sorted(range(len(bins)), key=lambda b: sum([lengths[i] for i in bins[b]]))
-    gone = {*order[: max(1, len(bins) // 20)], draw.randrange(len(bins))}
-    items = sorted((i for b in gone for i in bins[b]), key=lambda i: (-lengths[i], i))
-    return best_fit([list(x) for b, x in enumerate(bins) if b not in gone], items, lengths, capacity)
+    """Dissolve some of the emptiest bins and some random ones; their items are put back by best fit."""
+    fill = [sum([lengths[i] for i in items]) for items in bins]
+    order, most = sorted(range(len(bins)), key=fill.__getitem__), max(1, len(bins) // 20)
+    gone = {*order[: draw.randint(1, most)], *draw.sample(order, draw.randint(1, most))}
+    items = [i for b in sorted(gone) for i in bins[b]]
+    return best_fit([x for b, x in enumerate(bins) if b not in gone], _decreasing(items, lengths, draw), lengths, capacity)
 
 
 def score(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
@@ -198,26 +209,43 @@ def score(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int
     return len(bins), -sum([sum([lengths[i] for i in items]) ** 2 for items in bins]) / capacity**2
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS, down: bool = True) -> tuple[list[list[int]], int]:
-    """The best packing an island finds from the elites it was given and best fits of its own (one of them in decreasing order with `down`), and how many children of crossovers lived on."""
+def inhabitants(lengths: list[int], capacity: int, seed: int, before: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS, down: bool = True) -> tuple[list[list[list[int]]], int]:
+    """The packings of an island after some generations, best first, and how many children of crossovers lived on.
+
+    It starts from the packings `before` and, as far as these are fewer than `population`, best fits of its own (one of
+    them in decreasing order with `down`, if there are none before).
+    """
     draw, lived = Random(seed), 0
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    starts = [[list(items) for items in bins] for bins in elites]
+    starts = list(before)
     if down and not starts:
         starts.append(best_fit([], order, lengths, capacity))
     while len(starts) < population:
-        disturbed = [-lengths[i] * draw.uniform(0.8, 1.2) for i in range(len(lengths))]
-        starts.append(best_fit([], sorted(order, key=disturbed.__getitem__), lengths, capacity))
-    people = sorted(((score(bins, lengths, capacity), i, bins, False) for i, bins in enumerate(starts)), key=lambda x: x[:2])
-    for generation in range(1, generations + 1):
-        one, other = people[0][2], people[draw.randrange(1, len(people))][2]
+        starts.append(best_fit([], _decreasing(order, lengths, draw, 0.2), lengths, capacity))
+    people: dict[tuple[int, float], list[list[int]]] = {}
+    for bins in starts:
+        people.setdefault(score(bins, lengths, capacity), bins)
+    for _ in range(generations):
+        ranks = sorted(people)
+        one, other = people[min(draw.choice(ranks), draw.choice(ranks))], people[draw.choice(ranks)]
         children = [crossover(one, other, lengths, capacity, draw), crossover(other, one, lengths, capacity, draw), mutate(one, lengths, capacity, draw)]
-        people += [(score(bins, lengths, capacity), generation * population + i, bins, i < 2) for i, bins in enumerate(children)]
-        people = sorted(people, key=lambda x: x[:2])[:population]
-        lived += sum(crossed for _, born, _, crossed in people if born >= generation * population)
-    return people[0][2], lived
+        new = {}
+        for crossed, bins in zip((True, True, False), children, strict=True):
+            rank = score(bins, lengths, capacity)
+            if rank not in people:
+                people[rank], new[rank] = bins, crossed
+        people = {rank: people[rank] for rank in sorted(people)[:population]}
+        lived += sum(crossed for rank, crossed in new.items() if rank in people)
+    return [people[rank] for rank in sorted(people)], lived
+
+
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS, down: bool = True) -> tuple[list[list[int]], int]:
+    """The best of the `inhabitants`, and how many children of crossovers lived on."""
+    people, lived = inhabitants(lengths, capacity, seed, elites, population, generations, down)
+    return people[0], lived
 
 
+#: `bins` has the bin of each item in each packing of the island, best packing first; n_bins and even are the best's.
 STATE = "block long, island int, uids binary, lengths binary, bins binary, n_bins int, even double, crossovers int"
 PLACED = "uid long, length long, sequence_id long, offset long, stands boolean, crossovers int"
 
@@ -235,19 +263,20 @@ def _arrays(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _round(capacity: int, seed: int):
-    """One round of every island (a row): from its own elite and the one that came to it, if there are any."""
+    """One round of every island (a row): from its own packings and the elite that came to it, if there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block, island, uids = row["block"], row["island"], row["uids"]
                 lengths = np.frombuffer(row["lengths"], np.int32)
-                elites = [_bins(np.frombuffer(row[c], np.int32)) for c in ("bins", "elite") if row[c] is not None]
-                found, lived = evolve(lengths.tolist(), capacity, int(np.uint64(block * 1_000_003 + island * 101 + seed)), elites, down=not island)
-                of = np.empty(len(lengths), np.int32)
-                for b, items in enumerate(found):
-                    of[items] = b
-                n, even = score(found, lengths.tolist(), capacity)
+                before = [_bins(of) for c in ("bins", "elite") if row[c] is not None for of in np.frombuffer(row[c], np.int32).reshape(-1, len(lengths))]
+                people, lived = inhabitants(lengths.tolist(), capacity, int(np.uint64(block * 1_000_003 + island * 101 + seed)), before, down=not island)
+                of = np.empty((len(people), len(lengths)), np.int32)
+                for at, found in enumerate(people):
+                    for b, items in enumerate(found):
+                        of[at, items] = b
+                n, even = score(people[0], lengths.tolist(), capacity)
                 yield _arrays(STATE, [(block, island, uids, row["lengths"], of.tobytes(), n, even, row["crossovers"] + lived)])
 
     return run
@@ -267,6 +296,7 @@ def _opened(capacity: int, everything: bool):
         for batch in batches:
             for row in batch.to_pylist():
                 uid, length, of = np.frombuffer(row["uids"], np.int64), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["bins"], np.int32)
+                of = of[: len(uid)]
                 used = np.bincount(of, length).astype(np.int64)
                 stands = used >= WELL_FILLED * capacity
                 stands[np.argsort(-used, kind="stable")[: -(-len(used) // 2)]] = True
@@ -291,7 +321,7 @@ def _solve(spark: SparkSession, items: DataFrame, blocks: int, capacity: int, is
     now = start.withColumn("elite", F.lit(None).cast("binary")).repartition(tasks, "block", "island").mapInArrow(_round(capacity, seed), STATE)
     now = stage(spark, now, "pack-islands")
     for turn in range(1, rounds):
-        moved = now.select("block", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.col("bins").alias("elite"))
+        moved = now.select("block", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.expr("substring(bins, 1, length(lengths))").alias("elite"))
         before = now
         now = stage(spark, now.join(moved.hint("merge"), ["block", "island"]).select(*now.columns, "elite").repartition(tasks, "block", "island").mapInArrow(_round(capacity, seed + turn * 7919), STATE), "pack-islands")
         discard(spark, before)

@@ -253,6 +253,37 @@ def test_packing_crossover_beats_best_fit():
     assert better >= 4 and lived > 8
 
 
+def test_packing_evolves_with_its_own_parameters():
+    """What the query runs, on prose-like lengths: every block gets better than its best fit in decreasing order."""
+    draw, lived = random.Random(29), 0
+    for seed in range(4):
+        lengths = [min(4095, 1 + int(draw.lognormvariate(6.3, 0.9))) for _ in range(1500)]
+        plain = packing.best_fit([], sorted(range(1500), key=lambda i: (-lengths[i], i)), lengths, 4096)
+        found, crossed = packing.evolve(lengths, 4096, seed)
+        assert packing.score(found, lengths, 4096) < packing.score(plain, lengths, 4096)
+        lived += crossed
+    assert lived > 24
+
+
+def test_packing_islands_keep_their_packings(spark):
+    """All packings of an island go into its next round, and children of crossovers add up."""
+    draw = random.Random(31)
+    lengths = [draw.randint(20, 700) for _ in range(300)]
+    island = (5, 0, np.arange(300, dtype=np.int64).tobytes(), np.array(lengths, np.int32).tobytes(), None, 0, 0.0, 0)
+    counts, best = [], []
+    for turn in range(3):
+        batch = packing._arrays(packing.STATE, [island])
+        batch = batch.append_column("elite", pa.array([island[4] and island[4][:1200]], pa.binary()))
+        island = tuple(next(packing._round(1000, turn)(iter([batch]))).to_pylist()[0].values())
+        people = [packing._bins(of) for of in np.frombuffer(island[4], np.int32).reshape(-1, 300)]
+        scores = [packing.score(bins, lengths, 1000) for bins in people]
+        assert len(people) == packing.POPULATION and scores == sorted(set(scores)) and scores[0] == pytest.approx(island[5:7])
+        assert all(sorted(i for items in bins for i in items) == list(range(300)) and max(sum(lengths[i] for i in items) for items in bins) <= 1000 for bins in people)
+        counts.append(island[7])
+        best.append(scores[0])
+    assert best == sorted(best, reverse=True) and 0 < counts[0] < counts[1] <= counts[2]
+
+
 def test_packing_of_items_that_share_no_bin(spark):
     items = spark.createDataFrame([(i, 60 + i % 3) for i in range(500)], "uid long, length long")
     got = packing.pack(spark, items, capacity=100, block=60).collect()
