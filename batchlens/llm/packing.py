@@ -153,11 +153,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def best_fit(bins: list[list[int]], order: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Put each item of `order` into the fullest bin that holds it, or a new one. Changes and returns bins, but no bin in it: packings share bins."""
+class Packing(list):
+    """Bins, lists of items, with the length that each holds, so that it is not added up again for every child."""
+
+    def __init__(self, bins: list[list[int]], fill: list[int]):
+        super().__init__(bins)
+        self.fill = fill
+
+
+def _fill(bins: list[list[int]], lengths: list[int]) -> list[int]:
+    return bins.fill if isinstance(bins, Packing) else [sum([lengths[i] for i in items]) for items in bins]
+
+
+def best_fit(bins: list[list[int]], order: list[int], lengths: list[int], capacity: int) -> Packing:
+    """The packing with each item of `order` put into the fullest bin that holds it, or a new one. Packings share bins that are equal."""
+    bins = Packing(bins, list(_fill(bins, lengths)))
+    fill = bins.fill
     # Room and number of each bin in one number, so that the list is searched without tuples.
-    room = sorted([capacity - sum([lengths[i] for i in items]) << 32 | at for at, items in enumerate(bins)])
-    room = room[bisect_left(room, 1 << 32) :]
+    room = sorted([capacity - n << 32 | at for at, n in enumerate(fill) if n < capacity])
     for item in order:
         size = lengths[item]
         at = bisect_left(room, size << 32)
@@ -165,10 +178,12 @@ def best_fit(bins: list[list[int]], order: list[int], lengths: list[int], capaci
             found = room.pop(at)
             b = found & 0xFFFFFFFF
             bins[b] = [*bins[b], item]
+            fill[b] += size
             found -= size << 32
         else:
             found = capacity - size << 32 | len(bins)
             bins.append([item])
+            fill.append(size)
         if found >> 32:
             insort(room, found)
     return bins
@@ -176,37 +191,42 @@ def best_fit(bins: list[list[int]], order: list[int], lengths: list[int], capaci
 
 def _decreasing(items: list[int], lengths: list[int], draw: Random, disturbed: float = DISTURBED) -> list[int]:
     """Items by decreasing length, each length taken a little wrong."""
-    return sorted(items, key=lambda i: -lengths[i] * draw.uniform(1 - disturbed, 1 + disturbed))
+    least, width, some = 1 - disturbed, 2 * disturbed, draw.random
+    wrong = [-lengths[i] * (least + width * some()) for i in items]
+    return [items[at] for at in sorted(range(len(items)), key=wrong.__getitem__)]
 
 
-def crossover(one: list[list[int]], other: list[list[int]], lengths: list[int], capacity: int, draw: Random) -> list[list[int]]:
+def crossover(one: list[list[int]], other: list[list[int]], lengths: list[int], capacity: int, draw: Random) -> Packing:
     """Up to half of the well-filled bins of `other` go whole into `one`; bins of `one` that share an item go, and their other items are put back by best fit."""
-    fill = [sum([lengths[i] for i in items]) for items in other]
+    fill = _fill(other, lengths)
     full = sorted(range(len(other)), key=fill.__getitem__, reverse=True)
     chosen = full[: max(1, len(full) // 2)]
-    injected = [other[b] for b in draw.sample(chosen, draw.randint(1, max(1, len(chosen) // 2)))]
-    inside = {i for items in injected for i in items}
-    kept, displaced = [], []
-    for items in one:
+    injected = draw.sample(chosen, draw.randint(1, max(1, len(chosen) // 2)))
+    inside = {i for b in injected for i in other[b]}
+    kept, held, displaced = [], [], []
+    for items, n in zip(one, _fill(one, lengths), strict=True):
         if inside.isdisjoint(items):
             kept.append(items)
+            held.append(n)
         else:
             displaced += [i for i in items if i not in inside]
-    return best_fit(kept + injected, _decreasing(displaced, lengths, draw), lengths, capacity)
+    start = Packing(kept + [other[b] for b in injected], held + [fill[b] for b in injected])
+    return best_fit(start, _decreasing(displaced, lengths, draw), lengths, capacity)
 
 
-def mutate(bins: list[list[int]], lengths: list[int], capacity: int, draw: Random) -> list[list[int]]:
+def mutate(bins: list[list[int]], lengths: list[int], capacity: int, draw: Random) -> Packing:
     """Dissolve some of the emptiest bins and some random ones; their items are put back by best fit."""
-    fill = [sum([lengths[i] for i in items]) for items in bins]
+    fill = _fill(bins, lengths)
     order, most = sorted(range(len(bins)), key=fill.__getitem__), max(1, len(bins) // 20)
     gone = {*order[: draw.randint(1, most)], *draw.sample(order, draw.randint(1, most))}
     items = [i for b in sorted(gone) for i in bins[b]]
-    return best_fit([x for b, x in enumerate(bins) if b not in gone], _decreasing(items, lengths, draw), lengths, capacity)
+    kept = [b for b in range(len(bins)) if b not in gone]
+    return best_fit(Packing([bins[b] for b in kept], [fill[b] for b in kept]), _decreasing(items, lengths, draw), lengths, capacity)
 
 
 def score(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then the more uneven their fill the better."""
-    return len(bins), -sum([sum([lengths[i] for i in items]) ** 2 for items in bins]) / capacity**2
+    return len(bins), -sum([n * n for n in _fill(bins, lengths)]) / capacity**2
 
 
 def inhabitants(lengths: list[int], capacity: int, seed: int, before: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS, down: bool = True) -> tuple[list[list[list[int]]], int]:
