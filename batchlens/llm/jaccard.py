@@ -13,7 +13,8 @@ similarity reaches `percent` / 100. Equal sets form one class, and classes are j
    linear in the list. Their links give components. When turns join no more, all pairs of a list whose ends are still in
    different components are proposed; pairs inside a component could change nothing. Nothing is capped, and lists inside
    one component are not expanded. Long lists are salted over tasks.
-4. Components are found by large and small stars over tables of links.
+4. Components are found by stars of links: task by task, then in one task as far as they are few (`TOGETHER`), else by
+   large and small stars over tables.
 
 Nulls and odd input: a document with null, empty or blank text has an empty set, links with nothing and is its own
 component; null ids are allowed (a component's id is the least id that is not null). Rows with equal texts are linked.
@@ -38,6 +39,8 @@ SIZE, PERCENT = 5, 75
 HUB, SHARE = 512, 2048
 #: Bytes of shingles of a part.
 PART = 32 << 20
+#: Links that one task takes: as many as that are labelled there, of more each task only makes a forest of its own.
+TOGETHER = 1 << 20
 
 
 def _signature(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -243,15 +246,61 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """sid and label (the least sid reachable) of every end of links (a, b).
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of links (a, b), ascending, and the least end that each reaches."""
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label, (x, y) = np.arange(len(names)), at.reshape(2, -1)
+    while True:
+        x, y = label[x], label[y]
+        apart = x != y
+        if not apart.any():
+            return names, names[label]
+        x, y = x[apart], y[apart]
+        # Each root goes to the least root that it has a link to, and all follow to where that ends.
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _contracted(together: int, loops: bool):
+    """Links as stars around least ends, for every `together` links of a task; with `loops`, roots get a row too."""
+
+    def stars(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        names, least = _stars(*[np.concatenate([batch.column(c).to_numpy() for batch in rows]) for c in ("a", "b")])
+        keep = (names != least) | loops
+        return pa.RecordBatch.from_arrays([pa.array(least[keep]), pa.array(names[keep])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for batch in batches:
+            if rows and n + batch.num_rows > together:
+                yield stars(rows)
+                rows, n = [], 0
+            rows.append(batch)
+            n += batch.num_rows
+        if rows:
+            yield stars(rows)
+
+    return run
+
+
+def connected(spark: SparkSession, links: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """sid and label (the least sid reachable) of every end of links (a, b). Links are read twice, so they are best written before.
 
-    Large stars move a node's larger neighbours to the least of its neighbourhood, small stars its smaller ones and
-    itself, in turn, until the links are stars around the least sid. The least neighbours are written before they are
-    joined, so that the join of a node with very many links can be split.
+    Tasks turn their links into stars first, which have fewer rows than ends. Up to `together` links are then labelled
+    in one task. More are joined: large stars move a node's larger neighbours to the least of its neighbourhood, small
+    stars its smaller ones and itself, in turn, until the links are stars around the least sid. The least neighbours are
+    written before they are joined, so that the join of a node with very many links can be split.
     """
-    edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, before = stage(spark, edges, "join-links"), None
+    edges = links.filter("a <> b").select("a", "b").mapInArrow(_contracted(together, False), "a long, b long")
+    few = links.count() <= together
+    if not few:
+        edges = stage(spark, edges.distinct(), "join-links")
+        few = edges.count() <= together
+    if few:
+        labels = edges.repartition(1).mapInArrow(_contracted(2 * together, True), "a long, b long")
+        return stage(spark, labels.select(F.col("b").alias("sid"), F.col("a").alias("label")), "join-labels")
+    before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if state == before:

@@ -869,6 +869,25 @@ def test_components_of_links(spark):
     assert {r["sid"]: r["label"] for r in got.collect()} == label
 
 
+def test_few_links_are_labelled_in_few_jobs_and_many_by_stars(spark):
+    """A long chain of links takes no round of joins for each doubling; past the bound the joins give the same."""
+    draw = random.Random(19)
+    chain = draw.sample(range(-500, 500), 300)
+    links = list(zip(chain, chain[1:], strict=False)) + [(2000, i) for i in range(1000, 1100)] + [(7, 7)]
+    want = dict.fromkeys(chain, min(chain)) | dict.fromkeys(range(1000, 1100), 1000) | {2000: 1000}
+    found = jaccard.stage(spark, spark.createDataFrame(links, "a long, b long"), "test")
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        labels = jaccard.connected(spark, found)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 4, jobs
+    assert {r["sid"]: r["label"] for r in labels.collect()} == want
+    assert {r["sid"]: r["label"] for r in jaccard.connected(spark, found, 40).collect()} == want
+    assert jaccard.connected(spark, found.filter("a > 9999")).count() == 0
+
+
 def test_ftrl_equals_plain_updates():
     """FTRL-proximal one coordinate at a time, with scalars in dictionaries."""
     draw = random.Random(5)
