@@ -34,13 +34,12 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchlens.llm.common import discard, partitions, stage, table
-from batchlens.llm.kernels import slices
+from batchlens.llm.kernels import SPACES, slices, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
@@ -58,6 +57,10 @@ PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 l
 
 #: ASCII punctuation but the apostrophe: the pattern never joins it to letters before it.
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+#: Kinds of bytes that the pattern tells apart: letters a-z 1, punctuation but the apostrophe 2, all others 0.
+KINDS = np.zeros(256, np.uint8)
+KINDS[97:123] = 1
+KINDS[[*PUNCTUATION]] = 2
 #: Lower-case letters of Latin scripts: one code point each in normal form, letters for every version of Unicode.
 LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 
@@ -75,7 +78,9 @@ class WordIds:
     """Token ids of texts, word by word: ids of a run of non-space bytes do not depend on its neighbours.
 
     That holds for tokenizers that lower-case, split at white space, drop it, and split letters from punctuation, as
-    the one of op8 does; the tests compare with encoding whole texts. Ids of words seen before are kept, up to a bound.
+    the one of op8 does; the tests compare with encoding whole texts. So words are also split where a letter a-z and
+    punctuation meet (but at apostrophes, and in texts that may have a special token), which leaves fewer different
+    ones. Ids of words seen before are kept, up to a bound.
     Words of Latin letters go to the vocabulary's merges directly, all others through the whole tokenizer.
     """
 
@@ -96,7 +101,7 @@ class WordIds:
             found = self._merged(word.lower().decode())
         elif b"<|" not in word:
             stem = word.rstrip(PUNCTUATION)
-            if len(stem) < len(word) and stem[-1:].islower():
+            if len(stem) < len(word) and (stem[-1:].islower() or LATIN.fullmatch(stem.decode().lower())):
                 found = self._one(stem) + self._one(word[len(stem) :])
             elif LATIN.fullmatch(text := word.decode().lower()):
                 found = self._merged(text.encode().decode("latin-1").translate(self.names))
@@ -110,15 +115,33 @@ class WordIds:
         if len(self.ids) > self.kept:
             self.ids.clear()
         get, one = self.ids.get, self._one
-        split = pc.ascii_split_whitespace(pa.array([x if b"<|" in x else x.lower() for x in texts], pa.binary()).cast(pa.string()))
-        coded = split.values.dictionary_encode()
-        found = [get(word) or one(word) if word else b"" for word in coded.dictionary.cast(pa.binary()).to_pylist()]
+        special = np.array([b"<|" in x for x in texts], bool)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        data = np.frombuffer(b"".join([x if as_is else x.lower() for x, as_is in zip(texts, special, strict=True)]), np.uint8)
+        starts, inside = np.concatenate(([0], np.cumsum(size))), ~SPACES[data]
+        kind = KINDS[data]
+        if special.any():
+            kind[np.repeat(special, size)] = 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        edge = starts[:-1][size > 0]
+        first[edge] = inside[edge]
+        begin = np.flatnonzero(first)
+        upto = np.concatenate(([0], np.cumsum(inside, dtype=np.int32)))
+        offsets = upto[np.append(begin, data.size)].astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        letters, at = text_bytes(coded.dictionary)
+        letters, at = letters.tobytes(), at.tolist()
+        found = [get(word) or one(word) for word in [letters[a:b] for a, b in zip(at, at[1:], strict=False)]]
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         first, ids = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
         word = coded.indices.to_numpy()
-        upto = np.concatenate(([0], np.cumsum(size[word])))
-        ids = ids[np.repeat(first[word] - upto[:-1], size[word]) + np.arange(upto[-1])]
-        edge = upto[split.offsets.to_numpy()]
+        length = size[word]
+        upto = np.concatenate(([0], np.cumsum(length)))
+        place = np.repeat((first[word] - upto[:-1]).astype(np.int32), length)
+        place += np.arange(upto[-1], dtype=np.int32)
+        ids = ids[place]
+        edge = upto[np.searchsorted(begin, starts)]
         for a, b in zip(edge, edge[1:], strict=False):
             yield ids[a:b].tobytes()
 
@@ -138,7 +161,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             _word_ids[tokenizer] = WordIds(tokenizer)
         encode, row = _word_ids[tokenizer], TaskContext.get().partitionId() << 33
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 out = []
                 texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):

@@ -869,6 +869,20 @@ def test_components_of_links(spark):
     assert {r["sid"]: r["label"] for r in got.collect()} == label
 
 
+def test_words_are_looked_up_without_punctuation():
+    """A word is looked up once, whatever punctuation follows or precedes it; ids are those of whole texts."""
+    encode = packing.WordIds(packing.tokenizer_path())
+    texts = ["Word, word. (word) word! a-word", "it's. 's-x it's.'d x'.s", "caf\u00e9, e\u0301. <a|>", " \t", "", "Word.<|endoftext|>word, word."]
+    whole = [np.array(encode.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert list(encode([texts[0].encode()])) == whole[:1]
+    assert set(encode.ids) == {b"word", b",", b".", b"(", b")", b"!", b"a", b"-"}
+    assert list(encode([x.encode() for x in texts])) == whole
+    draw = random.Random(21)
+    letters = [*"aabzAZ09 \t\n\x0b.,-'()<|>_*&", "'s", "'re", "\u00e9", "e\u0301", "\u00c9", "\u00a0", "\u00df", "\u65e5", "<|endoftext|>", "\u0130"]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(500)]
+    assert list(encode([x.encode() for x in texts])) == [np.array(encode.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_few_links_are_labelled_in_few_jobs_and_many_by_stars(spark):
     """A long chain of links takes no round of joins for each doubling; past the bound the joins give the same."""
     draw = random.Random(19)
